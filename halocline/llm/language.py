@@ -22,7 +22,8 @@ from halocline.llm import text as X
 SAMPLE_ROWS, SLICE_CHARS, DICTIONARY_BYTES = 96, 1200, 96 << 10
 #: Texts are compressed in pieces of so many bytes, so that the dictionary matters for all of a long one.
 PIECE = 4096
-LEVEL = 1
+#: zstandard's level, and the higher one for texts under SHORT bytes, where few matches decide.
+LEVEL, SHORT_LEVEL, SHORT = 6, 12, 512
 #: A text is rejected if the runner-up is larger by less than this share.
 MARGIN = 0.004
 LETTER = regex.compile(r"\p{L}")
@@ -57,15 +58,17 @@ class Classifier:
 
     def __init__(self, model: dict[str, bytes]):
         self.names = sorted(model)
-        self.coders = []
-        for name in self.names:
-            own = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.coders = {level: [self._coder(model[name], level) for name in self.names] for level in (LEVEL, SHORT_LEVEL)}
+
+    @staticmethod
+    def _coder(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+        own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, raw: bytes) -> list[int]:
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        return [sum(len(coder.compress(p)) for p in pieces) for coder in self.coders]
+        return [sum(len(coder.compress(p)) for p in pieces) for coder in self.coders[SHORT_LEVEL if len(raw) < SHORT else LEVEL]]
 
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, accepted); the score is the best one's share of 2**-(bytes more than the best)."""

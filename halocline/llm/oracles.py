@@ -26,6 +26,7 @@ m AS (SELECT d.doc_id, d.n AS n_words, CAST(d.wc AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(ld.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c{quality.BASE_NGRAM}.k, 0) AS BIGINT) AS n_repeat_words,
   coalesce(100 * ld.dup > {quality.LINE_LIMIT} * ld.total, false) OR coalesce(100 * ld.dup_ch > {quality.LINE_CHAR_LIMIT} * ld.total_ch, false)
+  OR 100 * length(regexp_replace(coalesce(d.text, ''), '[^#*$%&|<>]', '', 'g')) > {quality.SYMBOL_LIMIT} * d.n
   {" ".join(f"OR coalesce(100 * c{n}.ch > {limit} * d.wc, false)" for n, limit in quality.NGRAM_LIMITS.items())} AS failed
   FROM d LEFT JOIN ld ON ld.doc_id = d.doc_id {" ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = d.doc_id" for n in sizes)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

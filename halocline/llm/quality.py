@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from halocline.llm import text as X
 
 #: Percent of a text's word characters that repeated n-grams of each length may cover.
-NGRAM_LIMITS = {5: 15, 6: 14, 8: 12, 10: 10}
+NGRAM_LIMITS = {5: 30, 6: 28, 8: 24, 10: 20}
 #: Percent of its lines, and of the characters of lines with a word, that may repeat an earlier line.
-LINE_LIMIT, LINE_CHAR_LIMIT = 30, 20
+LINE_LIMIT, LINE_CHAR_LIMIT = 30, 30
+#: Symbols there may be for each hundred words.
+SYMBOL_LIMIT = 10
 BASE_NGRAM, BASE_WORDS, BASE_LIMIT = 8, 20, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -42,7 +44,7 @@ def measure(data: np.ndarray, off: np.ndarray, ngrams: dict[int, int] = NGRAM_LI
 
     salt = X.mix(np.arange(1, n + 1, dtype=np.uint64) * X.BASE)
     units = X.segment_hashes(data, starts, ends)
-    failed = np.zeros(n, bool)
+    failed = 100 * out["n_symbols"] > SYMBOL_LIMIT * out["n_words"]
     for size in sorted({*ngrams, BASE_NGRAM}):
         hashes = X.window_hashes(units, size)
         at = np.flatnonzero(doc[: len(hashes)] == doc[size - 1 : size - 1 + len(hashes)])
