@@ -35,4 +35,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m"""
 
 
-ORACLES = {"op1_quality_rules": quality_sql()}
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM s WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT s.page_id, s.payload_bytes, s.payload_digest,
+  CASE WHEN s.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN s.page_id > f.first THEN f.first END AS refers_to
+FROM s LEFT JOIN f ON f.payload_digest = s.payload_digest"""
+
+ORACLES = {"op1_quality_rules": quality_sql(), "op7_warc": WARC}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import language, quality, sharding
+from halocline.llm import language, quality, sharding, simhash, warc
 from halocline.session import table
 
 
@@ -24,4 +24,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op5_sharding)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(-?[0-9]+)$', 1) as long)")
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", ""))
+    return warc.read(files).select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op5_sharding, op7_warc, op8_simhash)}
