@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halocline.llm import quality
+from halocline.llm import quality, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -44,4 +44,23 @@ SELECT s.page_id, s.payload_bytes, s.payload_digest,
   CASE WHEN s.page_id > f.first THEN f.first END AS refers_to
 FROM s LEFT JOIN f ON f.payload_digest = s.payload_digest"""
 
-ORACLES = {"op1_quality_rules": quality_sql(), "op7_warc": WARC}
+
+def secret_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = [
+        f"""SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'v': length(v[i])}})) AS x, {r.least} AS least
+  FROM (SELECT doc_id, string_split_regex(t, {quoted(r.pattern)}) AS g, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS v FROM d WHERE regexp_matches(t, {quoted(r.pattern)}))"""
+        for i, r in enumerate(secret_scan.RULES)
+    ]
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, rank, kind, CAST(x.s AS BIGINT) AS s, CAST(x.s + x.n AS BIGINT) AS e FROM ({" UNION ALL ".join(parts)}) WHERE x.v >= least),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE)},
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind IN ({base})), '') AS b,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
+ORACLES = {"op1_quality_rules": quality_sql(), "op7_warc": WARC, "op9_secret_scan": secret_sql()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import language, quality, sharding, simhash, warc
-from halocline.session import table
+from halocline.llm import language, quality, secret_scan, sharding, simhash, warc
+from halocline.session import shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,4 +37,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op5_sharding, op7_warc, op8_simhash)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_scan.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.scan(docs)
+    rows = secret_scan.to_paths(docs, ledger.findings())
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    return rows.select("doc_id", *(of(r.kind) for r in secret_scan.BASE), F.sha2(secret_scan.rendered(base), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op5_sharding, op7_warc, op8_simhash, op9_secret_scan)}
