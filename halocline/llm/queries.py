@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import language, quality, secret_scan, sharding, simhash, warc
+from halocline.llm import decontaminate, language, quality, secret_scan, sharding, simhash, warc
 from halocline.session import shared_dir, table
 
 
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs, model).withColumn("held_out", held)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -47,4 +51,4 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(of(r.kind) for r in secret_scan.BASE), F.sha2(secret_scan.rendered(base), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op5_sharding, op7_warc, op8_simhash, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op5_sharding, op7_warc, op8_simhash, op9_secret_scan)}
