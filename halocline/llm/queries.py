@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import decontaminate, language, quality, secret_scan, sharding, simhash, warc
+from halocline.llm import bpe, decontaminate, language, quality, secret_scan, sharding, simhash, warc
 from halocline.session import shared_dir, table
 
 
@@ -51,4 +52,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(of(r.kind) for r in secret_scan.BASE), F.sha2(secret_scan.rendered(base), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op5_sharding, op7_warc, op8_simhash, op9_secret_scan)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op5_sharding, op7_warc, op8_simhash, op9_secret_scan, op10_bpe)}
