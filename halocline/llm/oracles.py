@@ -80,4 +80,15 @@ SELECT doc_id, item_id, sim AS similarity, CAST(s AS INTEGER) AS start_word, CAS
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, s) AS r FROM y WHERE sim >= 0.8) WHERE r = 1"""
 
 
-ORACLES = {"op1_quality_rules": quality_sql(), "op4_decontamination": LEAKS, "op7_warc": WARC, "op9_secret_scan": secret_sql()}
+PASSAGES = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS p, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h FROM d WHERE len(w) >= 35),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1),
+q AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM r),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS v FROM d),
+k AS (SELECT x.doc_id, count(q.i) AS gone, coalesce(string_agg(x.v, ' ' ORDER BY x.i) FILTER (q.i IS NULL), '') AS t FROM x LEFT JOIN q ON q.doc_id = x.doc_id AND q.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+ORACLES = {"op1_quality_rules": quality_sql(), "op4_decontamination": LEAKS, "op6_substring_dedup": PASSAGES, "op7_warc": WARC, "op9_secret_scan": secret_sql()}

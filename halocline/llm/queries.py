@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import bpe, decontaminate, language, quality, secret_scan, sharding, simhash, warc
+from halocline.llm import bpe, decontaminate, language, quality, secret_scan, sharding, simhash, substrings, warc
 from halocline.session import shared_dir, table
 
 
@@ -31,6 +31,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(-?[0-9]+)$', 1) as long)")
@@ -57,4 +62,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op5_sharding, op7_warc, op8_simhash, op9_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op5_sharding, op6_substring_dedup, op7_warc, op8_simhash, op9_secret_scan, op10_bpe)}

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from halocline.session import ship
+
 #: Bytes of text that one numpy pass holds at most, unless a single document is larger.
 BLOCK_BYTES = 4 << 20
 
@@ -132,5 +134,6 @@ def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 def small_batches(spark, rows: int = 256) -> None:
-    """Bound what one Arrow batch of long texts takes in a Python worker."""
+    """Bound what one Arrow batch of long texts takes in a Python worker; give the workers this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
