@@ -91,4 +91,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.gone, 0) AS n_r
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
-ORACLES = {"op1_quality_rules": quality_sql(), "op4_decontamination": LEAKS, "op6_substring_dedup": PASSAGES, "op7_warc": WARC, "op9_secret_scan": secret_sql()}
+BYTES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 199)) AS p, unnest(list_transform(range(0, length(h) // 2 - 199), lambda i: md5(substr(h, 2 * i + 1, 400)))) AS m FROM d WHERE length(h) >= 400),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY m) AS c FROM g) WHERE c > 1),
+i AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, k),
+t AS (SELECT s.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS z, h FROM s JOIN d ON d.doc_id = s.doc_id),
+k AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h FROM t GROUP BY doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+ORACLES = {"op1_quality_rules": quality_sql(), "op3_suffix_dedup": BYTES, "op4_decontamination": LEAKS, "op6_substring_dedup": PASSAGES, "op7_warc": WARC, "op9_secret_scan": secret_sql()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.llm import bpe, decontaminate, language, quality, secret_scan, sharding, simhash, substrings, warc
+from halocline.llm import bpe, decontaminate, language, quality, secret_scan, sharding, simhash, substrings, suffixes, warc
 from halocline.session import shared_dir, table
 
 
@@ -23,6 +23,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs, model).withColumn("held_out", held)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,4 +67,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_decontamination, op5_sharding, op6_substring_dedup, op7_warc, op8_simhash, op9_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_suffix_dedup, op4_decontamination, op5_sharding, op6_substring_dedup, op7_warc, op8_simhash, op9_secret_scan, op10_bpe)}
