@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -101,6 +102,17 @@ def classify(docs: DataFrame, model: dict[str, bytes], doc_id: str = "doc_id", t
     return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, SCHEMA)
 
 
+def accepts(text: Column, model: dict[str, bytes]) -> Column:
+    """Whether a text's language is plain enough: the ``accepted`` of :func:`classify`, as a column for filters."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        judge = Classifier(model)
+        return pd.Series([judge(t)[3] for t in texts], dtype=bool)
+
+    return run(text)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -122,7 +122,7 @@ def met(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """``rows`` joined with ``lists`` on doc_id and t."""
     named = lists.withColumnsRenamed({"doc_id": "_id", "t": "_t"})
-    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), how).drop("_id", "_t")
+    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), how).drop("_id", "_t")  # drop() passes over names that a semi-join hasn't
 
 
 def window_rows(rows: DataFrame, chosen: DataFrame, unit: Unit) -> DataFrame:

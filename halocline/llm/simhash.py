@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halocline.llm import text as X
+from halocline.llm.repeats import keyed, with_lists
 from halocline.operators.components import star_edges
+from halocline.session import cut
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 LOWER = np.arange(256, dtype=np.uint8)
@@ -70,14 +72,14 @@ def block_fingerprints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): A-Z lower-cased, 3-word shingles, XXH64 with seed 42, majority of bits; no word: 0."""
+    """(doc_id, t, fp): t is a hash of the text; A-Z lower-cased, 3-word shingles, XXH64 with seed 42, majority of bits; no word: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in X.blocks(batches, most=1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(block_fingerprints(data, off).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block_fingerprints(data, off).view(np.int64))], names=["doc_id", "t", "fp"])
 
     X.small_batches(docs.sparkSession)
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, t long, fp long")
 
 
 def candidates(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -102,20 +104,28 @@ def links(near: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (long), fingerprint (16 hex digits), component_id of every row.
+    """doc_id, t, root, fingerprint (16 hex digits), component_id of every row.
 
     Null, empty and blank texts have fingerprint 0 and link like any other;
     repeated rows share a component and each gets a row; component_id is the
     smallest non-null doc_id reachable (null if there is none); an empty table
     gives no row; other columns are not read. Equal fingerprints are one vertex,
-    so copies add no links.
+    so copies add no links. t (a hash of the text) tells apart rows with the
+    same id, root (the least fingerprint) the components.
     """
-    from halocline.session import cut
-
     prints = cut(fingerprints(docs, doc_id, text))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
     star = star_edges(links(cut(candidates(distinct.select("fp")))))
     rooted = distinct.join(star, distinct["fp"] == star["hi"], "left").select("fp", "low_id", F.coalesce("lo", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    named = rooted.join(component, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(component, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "t", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id's (then the least text hash's; null ids come last)."""
+    near = near_duplicates(docs, doc_id, text)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("t").alias("t")))
+    stay = near.groupBy("root").agg(first.alias("one")).select("one.doc_id", "one.t")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return with_lists(rows, stay, "left_semi").dropDuplicates(["doc_id", "t"]).select("row.*")
