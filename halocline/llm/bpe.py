@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from halocline.llm import text as X
 
 #: Bytes of text in a block (a larger text comes alone), tokens in an Arrow batch of results.
-BLOCK_BYTES, BATCH_TOKENS = 24 << 20, 1 << 20
+BLOCK_BYTES, BATCH_TOKENS = 12 << 20, 1 << 19
+#: Bytes whose pre-tokens one numpy pass finds.
+PASS_BYTES = 1 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points with Unicode's White_Space.
@@ -111,40 +113,41 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 class Block:
     """The distinct words of a block, by bucket, and the numbers of its words in order."""
 
-    def __init__(self, ids: list[pa.Array], texts: list[pa.Array], buckets: int):
-        self.doc_ids = pa.concat_arrays(ids)
-        joined = pa.concat_arrays(texts)
-        data, off = X.buffers(joined)
-        starts = pretoken_starts(data, off)
-        coded = _binary(data, np.append(starts, len(data))).dictionary_encode()
-        self.lengths = np.diff(np.append(np.searchsorted(starts, off[:-1]), len(starts)))
+    def __init__(self, ids: list[pa.Array], parts: list[pa.Array], lengths: list[np.ndarray], buckets: int):
+        """parts: the pre-tokens, dictionary-encoded; lengths: how many each document has."""
+        self.doc_ids, self.lengths = pa.concat_arrays(ids), np.concatenate(lengths)
+        coded = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         numbers = coded.indices.to_numpy(zero_copy_only=False)
         raw, edges = X.buffers(coded.dictionary)
         hashes = X.segment_hashes(raw, edges[:-1], edges[1:])
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        rest = np.empty(len(order), np.int32)
         self.words, self.bucket, self.check = coded.dictionary.take(pa.array(order)), bucket[order], int(np.bitwise_xor.reduce(hashes)) if len(hashes) else 0
         # positions hold frequency ranks (small numbers compress well), ``places`` their words by bucket
         often = np.argsort(-np.bincount(numbers, minlength=len(order)), kind="stable") if len(order) else order
-        rank, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        rank[often] = np.arange(len(often))
-        place[order] = np.arange(len(order))
+        rank, place = rest, np.empty(len(order), np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.ranks, self.places = rank[numbers] if len(numbers) else rank, place[often]
 
 
 def block_stream(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[tuple[int, Block]]:
     """(block id, block): rows in order, cut by bytes; the same rows in the same order give the same blocks."""
-    ids, texts, held, number = [], [], 0, None
-    for batch, data, off in X.blocks(batches, most=most):
+    ids, parts, lengths, held, number = [], [], [], 0, None
+    for batch, data, off in X.blocks(batches, most=min(most, PASS_BYTES)):
         number = batch.column(2)[0].as_py() << 24 if number is None else number
         if ids and held + len(data) > most:
-            yield number, Block(ids, texts, buckets)
-            ids, texts, held, number = [], [], 0, number + 1
-        ids.append(batch.column(0).cast(pa.int64()))
-        texts.append(X.as_bytes(batch.column(1)))
+            yield number, Block(ids, parts, lengths, buckets)
+            ids, parts, lengths, held, number = [], [], [], 0, number + 1
+        starts = pretoken_starts(data, off)
+        ids.append(batch.column(0))
+        parts.append(_binary(data, np.append(starts, len(data))).dictionary_encode())
+        lengths.append(np.diff(np.append(np.searchsorted(starts, off[:-1]), len(starts))))
         held += len(data)
     if ids:
-        yield number, Block(ids, texts, buckets)
+        yield number, Block(ids, parts, lengths, buckets)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -154,7 +157,7 @@ def _planes(values: np.ndarray, width: int) -> bytes:
 def _unplanes(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 4), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.view("<u4").ravel().astype(np.int64)
+    return out.view("<u4").ravel().view(np.int32)
 
 
 def _pack(*parts: bytes) -> bytes:
@@ -245,7 +248,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
                     mark, c, f = _unpack(packed)
                     check ^= int(np.frombuffer(mark, "<u8")[0])
                     counts.append(_unplanes(c, 4))
-                    flats.append(_unplanes(f, 4).astype(np.int32))
+                    flats.append(_unplanes(f, 4))
                     continue
                 head, ids, known, lengths, places, ranks_ = _unpack(packed)
                 n, width, _ = (int(x) for x in np.frombuffer(head, "<i8", 3))
@@ -253,12 +256,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
                 if len(each) != n or check != int(np.frombuffer(head, "<u8", 1, 24)[0]):
                     raise RuntimeError("a block's words and positions differ: the input changed between two reads")
                 flat = np.concatenate(flats) if flats else np.zeros(0, np.int32)
-                words = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(each))), pa.array(flat)).take(pa.array(_unplanes(places, width)))
+                words = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(each, dtype=np.int64))), pa.array(flat)).take(pa.array(_unplanes(places, width)))
                 order, edges = _unplanes(ranks_, width), np.append(0, np.cumsum(np.frombuffer(lengths, "<i8")))
                 keys = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(known, bool))
                 at = 0
                 while at < len(keys):
-                    to = max(at + 1, int(np.searchsorted(edges, edges[at] + BATCH_TOKENS // 4, "right")) - 1)
+                    to = max(at + 1, int(np.searchsorted(edges, edges[at] + BATCH_TOKENS // 2, "right")) - 1)
                     part = words.take(pa.array(order[edges[at] : edges[to]]))
                     ends = part.offsets.to_numpy()[edges[at : to + 1] - edges[at]]
                     yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), part.flatten())], names=["doc_id", "ids"])
