@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halocline.session import cut
 
+#: Edge sets up to this many are joined on the driver, which takes one job instead of several a round.
+FEW_EDGES = 100_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
@@ -34,9 +38,32 @@ def star_edges(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     return now
 
 
-def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
+def union_find(edges: list[tuple]) -> dict:
+    """Each vertex that an edge names, with the smallest vertex of its component."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in list(parent)}
+
+
+def connected_components(edges: DataFrame, left: str = "u", right: str = "v", few: int = FEW_EDGES) -> DataFrame:
     """(vertex, component) of every vertex that an edge names; the component is its smallest vertex. A self-loop makes a singleton; edges with a null end count for nothing."""
-    found = star_edges(edges, left, right)
-    both = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    both = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right)
+    kind = both.schema[left].dataType
+    if few:
+        both = cut(both.distinct())
+        rows = both.limit(few + 1).collect()
+        if len(rows) <= few:
+            schema = T.StructType([T.StructField("vertex", kind), T.StructField("component", kind)])
+            return edges.sparkSession.createDataFrame(list(union_find([tuple(r) for r in rows]).items()), schema)
+    found = star_edges(both, left, right)
     vertices = both.select(F.col(left).alias("vertex")).union(both.select(F.col(right))).distinct()
     return vertices.join(found, vertices["vertex"] == found["hi"], "left").select("vertex", F.coalesce("lo", "vertex").alias("component"))
