@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from halocline.llm import text as X
 
 #: Bytes of text in a block (a larger text comes alone), tokens in an Arrow batch of results.
-BLOCK_BYTES, BATCH_TOKENS = 12 << 20, 1 << 19
+BLOCK_BYTES, BATCH_TOKENS = 8 << 20, 1 << 18
 #: Bytes whose pre-tokens one numpy pass finds.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 512 << 10
 LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Code points with Unicode's White_Space.
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
     noticed and raised.
     """
     spark = docs.sparkSession
-    X.small_batches(spark)
+    X.small_batches(spark, 64)
     # spark_partition_id() counts the partitions of docs itself, also where a union makes others of a task's
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text", "cast(spark_partition_id() as long) part")
     buckets = min(max(rows.rdd.getNumPartitions(), LEAST_BUCKETS), MOST_BUCKETS)

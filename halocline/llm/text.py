@@ -13,6 +13,9 @@ from halocline.session import ship
 #: Bytes of text that one numpy pass holds at most, unless a single document is larger.
 BLOCK_BYTES = 4 << 20
 
+#: Bytes whose hash sums are held at once: small, as each takes three 8-byte values.
+HASH_BYTES = 256 << 10
+
 #: White space of all word operators: 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -89,7 +92,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = BLOCK_BYTES) -> np.ndarray:
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = HASH_BYTES) -> np.ndarray:
     """A 64-bit hash of each segment's bytes. Segments are sorted and don't overlap; memory follows ``most`` or the longest segment."""
     out = np.empty(len(starts), np.uint64)
     at = 0
