@@ -11,7 +11,6 @@ the vocabulary.
 from __future__ import annotations
 
 import base64
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,6 @@ BLOCK_BYTES, BATCH_TOKENS = 8 << 20, 1 << 18
 PASS_BYTES = 512 << 10
 LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
 SPACE, LETTER, NUMBER, OTHER = range(4)
-#: Code points with Unicode's White_Space.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: list[np.ndarray] = []
 
 
@@ -40,11 +37,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def _class_table() -> np.ndarray:
+def class_table() -> np.ndarray:
+    """The kind of every code point, by the tokenizer library's own character classes: what its pattern \\p{L}, \\p{N} or \\s finds."""
     if not _classes:
-        kinds = {"L": LETTER, "N": NUMBER}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        table[WHITE_SPACE] = SPACE
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        single = {bytes([i]): i for i in range(256)}
+        table = np.full(0x110000, OTHER, np.uint8)
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+            found = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+            table[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = kind
         _classes.append(table)
     return _classes[0]
 
@@ -64,7 +65,7 @@ def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def pretoken_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def pretoken_starts(data: np.ndarray, off: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
     """Byte offsets at which pre-tokens start; they tile every document of the block.
 
     Runs of letters, numbers, others and white space are tokens; a single space
@@ -76,7 +77,7 @@ def pretoken_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if not len(at):
         return at
     code = code_points(data, at)
-    kind = _class_table()[code]
+    kind = (class_table() if kinds is None else kinds)[code]
     n = len(at)
     heads = np.searchsorted(at, off[:-1][off[:-1] < off[1:]])
     head = np.zeros(n + 1, bool)
@@ -133,7 +134,7 @@ class Block:
         self.ranks, self.places = rank[numbers] if len(numbers) else rank, place[often]
 
 
-def block_stream(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[tuple[int, Block]]:
+def block_stream(batches: Iterator[pa.RecordBatch], buckets: int, most: int, kinds: np.ndarray | None = None) -> Iterator[tuple[int, Block]]:
     """(block id, block): rows in order, cut by bytes; the same rows in the same order give the same blocks."""
     ids, parts, lengths, held, number = [], [], [], 0, None
     for batch, data, off in X.blocks(batches, most=min(most, PASS_BYTES)):
@@ -141,7 +142,7 @@ def block_stream(batches: Iterator[pa.RecordBatch], buckets: int, most: int) ->
         if ids and held + len(data) > most:
             yield number, Block(ids, parts, lengths, buckets)
             ids, parts, lengths, held, number = [], [], [], 0, number + 1
-        starts = pretoken_starts(data, off)
+        starts = pretoken_starts(data, off, kinds)
         ids.append(batch.column(0))
         parts.append(_binary(data, np.append(starts, len(data))).dictionary_encode())
         lengths.append(np.diff(np.append(np.searchsorted(starts, off[:-1]), len(starts))))
@@ -198,9 +199,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text", "cast(spark_partition_id() as long) part")
     buckets = min(max(rows.rdd.getNumPartitions(), LEAST_BUCKETS), MOST_BUCKETS)
     vocabulary = spark.sparkContext.broadcast(ranks)
+    kinds = spark.sparkContext.broadcast(class_table())
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in block_stream(batches, buckets, block_bytes):
+        for number, block in block_stream(batches, buckets, block_bytes, kinds.value):
             raw, edges = X.buffers(block.words)
             cuts = np.searchsorted(block.bucket, np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
@@ -208,7 +210,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
                 yield _row(number, int(k), _pack(np.diff(edges[low : high + 1]).astype("<u4").tobytes(), raw[edges[low] : edges[high]].tobytes()))
 
     def position_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in block_stream(batches, buckets, block_bytes):
+        for number, block in block_stream(batches, buckets, block_bytes, kinds.value):
             n = len(block.places)
             width = max(1, (max(n - 1, 0).bit_length() + 7) // 8)
             known = block.doc_ids.is_null().to_numpy(zero_copy_only=False)

@@ -58,8 +58,8 @@ def measure(data: np.ndarray, off: np.ndarray, ngrams: dict[int, int] = NGRAM_LI
     breaks = np.flatnonzero(data == 0x0A)
     line_starts = np.unique(np.concatenate([off[:-1], breaks + 1]))
     line_starts = line_starts[line_starts < len(data)]
-    line_ends = np.minimum(np.append(line_starts[1:], len(data)), len(data))
-    line_ends = line_ends - (data[line_ends - 1] == 0x0A) if len(line_ends) else line_ends
+    line_ends = np.append(line_starts[1:], len(data))[: len(line_starts)]
+    line_ends = line_ends - (data[line_ends - 1] == 0x0A)
     filled = np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends)
     line_starts, line_ends = line_starts[filled], line_ends[filled]
     line_doc = np.searchsorted(off, line_starts, "right") - 1
