@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Each language's model is a zstandard raw-content dictionary cut from sampled
-training texts. A text is compressed with every dictionary; the smallest result
-names the language, and a narrow margin to the runner-up rejects the text.
+training texts, in lower case. A text is compressed with every dictionary; the
+smallest result names the language, and a narrow margin to the runner-up rejects
+the text.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
     slices = rows.join(chosen, ["lang", "slot", "h"]).select("lang", "slot", cut.alias("text")).groupBy("lang", "slot").agg(F.max("text").alias("text"))
     got: dict[str, list[bytes]] = {}
     for r in slices.orderBy("lang", "slot").toLocalIterator():
-        got.setdefault(r["lang"], []).append(r["text"].encode())
+        got.setdefault(r["lang"], []).append(r["text"].lower().encode())
     return {k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in got.items()}
 
 
@@ -75,7 +76,7 @@ class Classifier:
         """(language, score, margin, accepted); the score is the best one's share of 2**-(bytes more than the best)."""
         if text is None or not self.names or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0, False
-        ranked = sorted(zip(self.sizes(text.encode()), self.names))
+        ranked = sorted(zip(self.sizes(text.lower().encode()), self.names))
         best, second = ranked[0][0], ranked[1][0] if len(ranked) > 1 else 2 * ranked[0][0]
         margin = (second - best) / second
         return ranked[0][1], 1 / sum(math.pow(2, best - size) if size - best < 60 else 0.0 for size, _ in ranked), margin, margin >= MARGIN
