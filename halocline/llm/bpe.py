@@ -149,6 +149,8 @@ def block_stream(batches: Iterator[pa.RecordBatch], buckets: int, most: int, kin
         held += len(data)
     if ids:
         yield number, Block(ids, parts, lengths, buckets)
+    ids = parts = lengths = batch = data = None
+    X.release()
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -239,6 +241,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
                 counts = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.fromiter((i for ids in got for i in ids), np.int64, int(counts.sum()))
                 yield _row(number, bucket, _pack(np.array([check], "<u8").tobytes(), _planes(counts, 4), _planes(flat, 4)))
+        cache = coder = got = None
+        X.release()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, counts, flats, check = None, [], [], 0
@@ -268,6 +272,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
                     ends = part.offsets.to_numpy()[edges[at : to + 1] - edges[at]]
                     yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), part.flatten())], names=["doc_id", "ids"])
                     at = to
+                words = part = flat = each = order = None
+        X.release()
 
     words = rows.mapInArrow(word_rows, ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(encode_rows, ROWS)
     both = words.union(rows.mapInArrow(position_rows, ROWS))
@@ -293,6 +299,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             if ids.null_count:
                 whole = pc.if_else(ids.is_null(), pa.scalar(None, pa.binary()), whole)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, whole], names=["doc_id", "ids", "bytes"]) if n else batch
+        column = ids = lists = data = whole = batch = None
+        X.release()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 

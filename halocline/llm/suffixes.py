@@ -263,6 +263,7 @@ def shard_rows(segments: DataFrame, window: int, shard_bytes: int = SHARD_BYTES)
             to = pa.array(owner)
             first = shard.column(3).to_numpy()[owner] + (start - off[owner])
             yield pa.RecordBatch.from_arrays([shard.column(1).take(to), shard.column(2).take(to), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "t", "first", "n"])
+        X.release()
 
     return segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc_id long, t long, first int, n int")
 

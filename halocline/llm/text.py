@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and the next stage's share the executor with them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of whole rows with at most ``most`` bytes of text (a larger text comes alone)."""
     for batch in batches:
@@ -78,6 +87,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             data, part = buffers(texts.slice(at, to - at))
             yield batch.slice(at, to - at), data, part
             at = to
+    batch = texts = data = part = None
+    release()
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
