@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halocline.llm import text as X
+from halocline.llm.joins import sized
+from halocline.session import cut
 
 #: The model's bounds: at most so many training rows a language, and so many bytes of each and of a dictionary.
 SAMPLE_ROWS, SLICE_CHARS, DICTIONARY_BYTES = 96, 1200, 96 << 10
@@ -45,10 +47,10 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN)).select(
         F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(doc_id), F.lit("slot")), F.lit(SAMPLE_ROWS)).alias("slot"), row.alias("h"), F.col(text).alias("text")
     )
-    chosen = rows.groupBy("lang", "slot").agg(F.min("h").alias("h"))
+    chosen = sized(cut(rows.groupBy("lang", "slot").agg(F.min("h").alias("h"))))
     span = F.greatest(F.length("text") - SLICE_CHARS, F.lit(0)) + 1
-    cut = F.substring(F.col("text"), (F.pmod(F.col("h"), span) + 1).cast("int"), F.lit(SLICE_CHARS))
-    slices = rows.join(chosen, ["lang", "slot", "h"]).select("lang", "slot", cut.alias("text")).groupBy("lang", "slot").agg(F.max("text").alias("text"))
+    piece = F.substring(F.col("text"), (F.pmod(F.col("h"), span) + 1).cast("int"), F.lit(SLICE_CHARS))
+    slices = rows.join(chosen, ["lang", "slot", "h"]).select("lang", "slot", piece.alias("text")).groupBy("lang", "slot").agg(F.max("text").alias("text"))
     got: dict[str, list[bytes]] = {}
     for r in slices.orderBy("lang", "slot").toLocalIterator():
         got.setdefault(r["lang"], []).append(r["text"].lower().encode())
