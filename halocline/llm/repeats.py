@@ -150,14 +150,15 @@ def window_rows(rows: DataFrame, chosen: DataFrame, unit: Unit) -> DataFrame:
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
     """(doc_id, t, first, n = 1) of the windows whose hash is there twice or more."""
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
+    twice = cut(windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"))
     return windows.join(twice, "window").select("doc_id", "t", "first", F.lit(1).alias("n"))
 
 
 def split_seeds(rows: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     """(done, open) by the rules above: seeds (doc_id, t, first, n) whose windows all repeat, and one seed (also gram, n_segments) of each distinct segment whose gram has others."""
     every = seed_rows(rows, unit)
-    common = every.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # written out first: a join with the aggregate itself would keep a common gram's seeds in one task
+    common = cut(every.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
     shared = cut(every.join(common, "gram"))
     copies = shared.groupBy("gram", "segment").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "first", "n")).alias("one"))
     copies = cut(copies)
