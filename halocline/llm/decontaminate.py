@@ -2,7 +2,8 @@
 
 A window passes if its weighted Jaccard similarity to an item (five-word
 shingles, weights are their counts) is 0.8 or more. With as many shingles L in
-the window as in the item that asks for ceil(8 L / 9) common ones, so that
+the window as in the item that asks for ceil(8 L / 9) common ones. A text of
+fewer shingles M than the item is one window, which needs ceil(4 (L + M) / 9). So
 
 1. only texts with so many places of an item's shingles can have a window, and
    of a text's windows only those that begin with such a place matter (a window
@@ -60,7 +61,8 @@ def _fingerprint(shingles: DataFrame, keys: list[str]) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window for each text and item that pass.
 
-    Words are split at white space and lower-cased. Items of fewer than five
+    A window has as many words as the item, or is the whole text where that is
+    shorter. Words are split at white space and lower-cased. Items of fewer than five
     words are one shingle, and match as a whole; items and texts that are null
     or blank match nothing. Ties go to the first of
     the windows that begin with a place of the item's shingles. Repeated items each
@@ -78,19 +80,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     for k in lengths:
         own = kinds.where(F.col("k") == k)
         item_places = cut(_places(own, ["item", "size"], k, F.lit(1), F.col("size")))
-        need = F.expr("int((size * 8 + 8) div 9)")
+        need = F.expr("int((4 * (size + length) + 8) div 9)")
         known = item_places.select("item", "size", "h").distinct()
         long = texts.where(F.size("words") >= k).withColumn("last", F.size("words") - (k - 1))
         hits = _places(long.select("doc_id", "text_hash", "last", "words"), ["doc_id", "text_hash", "last"], k, F.lit(1), F.col("last")).join(sized(known), "h")
-        grouped = hits.groupBy("doc_id", "text_hash", "last", "item", "size").agg(F.count("*").alias("n"), F.collect_set("pos").alias("at")).withColumn("need", need).where("size(at) >= need and last >= size").withColumn("at", F.sort_array("at"))
-        begins = F.filter(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda i: F.get("at", i + F.col("need") - 2) - F.get("at", i - 1) < F.col("size"))
-        windows = cut(grouped.select("doc_id", "text_hash", "size", F.explode(F.transform(begins, lambda i: F.least(F.get("at", i - 1), F.col("last") - F.col("size") + 1))).alias("start")).distinct())
-        per_text = cut(windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size")).alias("windows")).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"))
+        grouped = hits.groupBy("doc_id", "text_hash", "last", "item", "size").agg(F.count("*").alias("n"), F.collect_set("pos").alias("at")).withColumn("length", F.least("last", "size")).withColumn("need", need).where("size(at) >= need").withColumn("at", F.sort_array("at"))
+        begins = F.filter(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda i: F.get("at", i + F.col("need") - 2) - F.get("at", i - 1) < F.col("length"))
+        windows = cut(grouped.select("doc_id", "text_hash", "size", "length", F.explode(F.transform(begins, lambda i: F.least(F.get("at", i - 1), F.col("last") - F.col("length") + 1))).alias("start")).distinct())
+        per_text = cut(windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "length")).alias("windows")).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"))
         side = sized(per_text, F.size("windows"))
         chosen = long.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["doc_id", "text_hash"])
-        opened = chosen.select("doc_id", "text_hash", "words", F.explode("windows").alias("w")).select("doc_id", "text_hash", "words", F.col("w.start").alias("start"), F.col("w.size").alias("size"))
-        window = ["doc_id", "text_hash", "start", "size"]
-        shingles = cut(_places(opened, window, k, F.col("start"), F.col("size")))
+        opened = chosen.select("doc_id", "text_hash", "words", F.explode("windows").alias("w")).select("doc_id", "text_hash", "words", F.col("w.start").alias("start"), F.col("w.size").alias("size"), F.col("w.length").alias("length"))
+        window = ["doc_id", "text_hash", "start", "size", "length"]
+        shingles = cut(_places(opened, window, k, F.col("start"), F.col("length")))
         prints = _fingerprint(shingles, window).select(*window, "fp", F.explode(_blocks()).alias("_x")).select(*window, "fp", "_x.block", "_x.value")
         targets = _fingerprint(item_places, ["item", "size"]).select("item", "size", F.col("fp").alias("item_fp"), F.explode(_blocks()).alias("_x")).select("item", "size", "item_fp", "_x.block", "_x.value")
         close = prints.join(sized(cut(targets)), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*window, "item").distinct()
@@ -98,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         want = cut(item_places.groupBy("item", "h").agg(F.count("*").alias("m")))
         common = close.join(have.withColumnsRenamed({c: f"_{c}" for c in window}), (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("start") == F.col("_start")) & (F.col("size") == F.col("_size")))
         scored = common.join(sized(want), ["item", "h"]).groupBy(*window, "item").agg(F.sum(F.least("n", "m")).alias("both"))
-        passed = scored.select("doc_id", "item", (F.col("both") / (2 * F.col("size") - F.col("both"))).alias("similarity"), "start", (F.col("size") + (k - 1)).alias("n_words")).where(F.col("similarity") >= SIMILARITY)
+        passed = scored.select("doc_id", "item", (F.col("both") / (F.col("size") + F.col("length") - F.col("both"))).alias("similarity"), "start", (F.col("length") + (k - 1)).alias("n_words")).where(F.col("similarity") >= SIMILARITY)
         found = passed if found is None else found.unionByName(passed)
     if found is None:
         none = docs.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast(benchmark.schema[item_id].dataType).alias("item_id"))

@@ -322,6 +322,14 @@ def test_short_items_match_as_a_whole(spark):
     assert [(r["doc_id"], r["similarity"], r["start_word"]) for r in got] == [(1, 1.0, 2)]
 
 
+def test_texts_shorter_than_the_item(spark):
+    """The whole text is the window: similarity on both lengths, and nothing under the limit."""
+    w = prose(50, 210).split(" ")
+    rows = [(1, " ".join(w[:46])), (2, " ".join(w[1:])), (3, " ".join(w[:41])), (4, " ".join(w[:40])), (5, " ".join(w[:45] + ["new"])), (6, " ".join(w)), (7, " ".join(w[:46] + ["a"] * 9))]
+    got = decontaminate.leaks(documents(spark, rows), spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (round(r["similarity"], 9), r["start_word"], r["n_words"]) for r in got} == {i: (round(s, 9), 1, n) for i, s, n in [(1, 42 / 46, 46), (2, 45 / 46, 49), (3, 37 / 46, 41), (5, 41 / 47, 46), (6, 1.0, 50), (7, 42 / 50, 50)]}
+
+
 def test_quality(spark):
     got = {r["doc_id"]: r for r in quality.repetition(documents(spark)).collect()}
     for i, t in enumerate(texts()):
