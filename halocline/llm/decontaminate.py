@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash of item-sized windows. DataFrame functions only.
+"""Benchmark decontamination by item-sized windows, compared exactly. DataFrame functions only.
 
 A window passes if its weighted Jaccard similarity to an item (five-word
 shingles, weights are their counts) is 0.8 or more. With as many shingles L in
@@ -8,10 +8,11 @@ fewer shingles M than the item is one window, which needs ceil(4 (L + M) / 9). S
 1. only texts with so many places of an item's shingles can have a window, and
    of a text's windows only those that begin with such a place matter (a window
    moved on to the next place, or back from the text's end, keeps all it had);
-2. these windows are fingerprinted and meet the items of their size in a
-   multi-index: 64 bits in RADIUS + 1 blocks, one of which must agree if RADIUS
-   or fewer bits differ;
-3. pairs within the radius are verified on the shingles themselves.
+2. each such window is compared with the items that it was opened for, on the
+   counts of their shingles.
+
+No fingerprint stands in between: similarity is weighted, so a shingle repeated in
+the rest of a window pulls a SimHash away from the item's without limit.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from halocline.llm.joins import sized
 from halocline.session import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Similarity 0.8 means an angle of 27 degrees at most and 9.7 differing bits on average (deviation 2.9): 20 leave out 2 in 10,000 of the pairs just at the limit.
-RADIUS = 20
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -41,23 +40,6 @@ def _places(source: DataFrame, keys: list[str], size: int, start: Column, n: Col
     return source.select(*keys, F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i, size)).alias("h")))).alias("_p")).select(*keys, "_p.pos", "_p.h")
 
 
-def _blocks() -> Column:
-    """The bits of ``fp`` in RADIUS + 1 blocks."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    part = lambda low, high: F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-    return F.array(*(F.struct(F.lit(k).alias("block"), part(low, high).alias("value")) for k, (low, high) in enumerate(zip(edges, edges[1:]))))
-
-
-def _fingerprint(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fp: bit i is set if more than half of the shingles (each as often as it is there) have it."""
-    bits = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))).alias(f"_b{i}") for i in range(64)]
-    counted = shingles.groupBy(*keys).agg(F.count("*").alias("_n"), *bits)
-    fp = F.lit(0).cast("long")
-    for i in range(64):
-        fp = fp.bitwiseOR(F.when(2 * F.col(f"_b{i}") > F.col("_n"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, fp.alias("fp"))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window for each text and item that pass.
 
@@ -86,19 +68,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         hits = _places(long.select("doc_id", "text_hash", "last", "words"), ["doc_id", "text_hash", "last"], k, F.lit(1), F.col("last")).join(sized(known), "h")
         grouped = hits.groupBy("doc_id", "text_hash", "last", "item", "size").agg(F.count("*").alias("n"), F.collect_set("pos").alias("at")).withColumn("length", F.least("last", "size")).withColumn("need", need).where("size(at) >= need").withColumn("at", F.sort_array("at"))
         begins = F.filter(F.sequence(F.lit(1), F.size("at") - F.col("need") + 1), lambda i: F.get("at", i + F.col("need") - 2) - F.get("at", i - 1) < F.col("length"))
-        windows = cut(grouped.select("doc_id", "text_hash", "size", "length", F.explode(F.transform(begins, lambda i: F.least(F.get("at", i - 1), F.col("last") - F.col("length") + 1))).alias("start")).distinct())
+        pairs = cut(grouped.select("doc_id", "text_hash", "item", "size", "length", F.explode(F.array_distinct(F.transform(begins, lambda i: F.least(F.get("at", i - 1), F.col("last") - F.col("length") + 1)))).alias("start")))
+        windows = pairs.select("doc_id", "text_hash", "size", "length", "start").distinct()
         per_text = cut(windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "length")).alias("windows")).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"))
         side = sized(per_text, F.size("windows"))
         chosen = long.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["doc_id", "text_hash"])
         opened = chosen.select("doc_id", "text_hash", "words", F.explode("windows").alias("w")).select("doc_id", "text_hash", "words", F.col("w.start").alias("start"), F.col("w.size").alias("size"), F.col("w.length").alias("length"))
         window = ["doc_id", "text_hash", "start", "size", "length"]
         shingles = cut(_places(opened, window, k, F.col("start"), F.col("length")))
-        prints = _fingerprint(shingles, window).select(*window, "fp", F.explode(_blocks()).alias("_x")).select(*window, "fp", "_x.block", "_x.value")
-        targets = _fingerprint(item_places, ["item", "size"]).select("item", "size", F.col("fp").alias("item_fp"), F.explode(_blocks()).alias("_x")).select("item", "size", "item_fp", "_x.block", "_x.value")
-        close = prints.join(sized(cut(targets)), ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*window, "item").distinct()
         have = shingles.groupBy(*window, "h").agg(F.count("*").alias("n"))
         want = cut(item_places.groupBy("item", "h").agg(F.count("*").alias("m")))
-        common = close.join(have.withColumnsRenamed({c: f"_{c}" for c in window}), (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("start") == F.col("_start")) & (F.col("size") == F.col("_size")))
+        common = pairs.join(have.withColumnsRenamed({c: f"_{c}" for c in window}), (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("start") == F.col("_start")) & (F.col("size") == F.col("_size")))
         scored = common.join(sized(want), ["item", "h"]).groupBy(*window, "item").agg(F.sum(F.least("n", "m")).alias("both"))
         passed = scored.select("doc_id", "item", (F.col("both") / (F.col("size") + F.col("length") - F.col("both"))).alias("similarity"), "start", (F.col("length") + (k - 1)).alias("n_words")).where(F.col("similarity") >= SIMILARITY)
         found = passed if found is None else found.unionByName(passed)

@@ -330,6 +330,14 @@ def test_texts_shorter_than_the_item(spark):
     assert {r["doc_id"]: (round(r["similarity"], 9), r["start_word"], r["n_words"]) for r in got} == {i: (round(s, 9), 1, n) for i, s, n in [(1, 42 / 46, 46), (2, 45 / 46, 49), (3, 37 / 46, 41), (5, 41 / 47, 46), (6, 1.0, 50), (7, 42 / 50, 50)]}
 
 
+def test_repeated_filler_beside_a_passage(spark):
+    """Weighted similarity at the limit, where the rest of the window is one word again and again."""
+    w = [f"{x}{i}" for i, x in enumerate(prose(454, 211).split(" "))]
+    rows = [(1, " ".join(w[:404] + ["-"] * 60)), (2, " ".join(w[:403] + ["-"] * 60)), (3, " ".join(["|"] * 80 + w[50:]))]
+    got = decontaminate.leaks(documents(spark, rows), spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["similarity"], r["start_word"], r["n_words"]) for r in got} == {1: (0.8, 1, 454), 3: (0.8, 31, 454)}
+
+
 def test_quality(spark):
     got = {r["doc_id"]: r for r in quality.repetition(documents(spark)).collect()}
     for i, t in enumerate(texts()):
