@@ -7,6 +7,8 @@ sees is an equi-join with the distance as residual condition.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,12 +16,13 @@ from pyspark.sql import functions as F
 
 from halocline.functions.vectors import distance_squared
 from halocline.operators.points import dimension, squared
+from halocline.session import cut
 
 #: Highest dimension for buckets: 3**d of them surround a point.
 GRID_DIMENSIONS = 3
 #: Rounding of a quotient can't carry a pair in range beyond the next bucket.
 SLACK = 1 + 1e-9
-#: A query or centre set up to this many rows is broadcast.
+#: A centre set, or a block of queries, up to this many rows is broadcast.
 FEW = 10_000
 
 
@@ -92,16 +95,24 @@ def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, rank, id, d2): the k nearest points of each of a stated, small query set; ties by id. k <= 0: none.
+    """(query, rank, id, d2): the k nearest points of each query; ties by id. k <= 0: none.
 
-    Queries are broadcast in one block of FEW at most; ranks are cut inside each
-    partition before the shuffle.
+    Up to FEW queries are broadcast in one block. More are dealt by the hash of
+    their id into blocks of about half of that, each of which meets all points;
+    ranks are cut inside each partition before the shuffle.
     """
-    few = queries.select(F.col("id").alias("query"), F.col("v").alias("w"))
-    if few.limit(FEW + 1).count() > FEW:
-        raise ValueError(f"more than {FEW} query points: split them")
-    near = points.join(F.broadcast(few)).select("query", "id", distance_squared(F.col("v"), F.col("w")).alias("d2"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k).select("query", "rank", "id", "d2")
+    asked = queries.select(F.col("id").alias("query"), F.col("v").alias("w"))
+    blocks = [asked]
+    if asked.limit(FEW + 1).count() > FEW:
+        asked = cut(asked)
+        n = math.ceil(2 * asked.count() / FEW)
+        blocks = [asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i) for i in range(n)]
+
+    def best(block: DataFrame) -> DataFrame:
+        near = points.join(F.broadcast(block)).select("query", "id", distance_squared(F.col("v"), F.col("w")).alias("d2"))
+        return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k).select("query", "rank", "id", "d2")
+
+    return reduce(DataFrame.unionAll, map(best, blocks))
 
 
 def side_distance(v: Column, low: Column, high: Column) -> Column:

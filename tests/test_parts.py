@@ -115,6 +115,15 @@ def test_sampling(spark):
     assert sampling.line_sample(p, 20, 1).count() > 5
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "FEW", 4)
+    at = [(i, [float(i * i % 41), float(i % 7)]) for i in range(30)]
+    p = spark.createDataFrame(at, POINTS)
+    got = {(r["query"], r["rank"], r["id"]) for r in pairs.knn(p, p.where("id % 2 = 0"), 3).collect()}
+    near = lambda q: sorted((sum((x - y) ** 2 for x, y in zip(q, v)), i) for i, v in at)[:3]
+    assert got == {(q, k + 1, i) for q, v in at if q % 2 == 0 for k, (_, i) in enumerate(near(v))}
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("dim0,dim1\n" + "".join(f"{i}.5,{-i}\n" for i in range(30)))
     got = csv.read_points(spark, str(tmp_path / "p.csv"))
