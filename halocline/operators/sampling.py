@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from halocline.functions.vectors import distance_squared
 from halocline.operators.components import union_find
 from halocline.operators.pairs import FEW, nearest
 
@@ -135,6 +136,21 @@ def farthest_points(sample: DataFrame, n: int, first: int = 0, least: float | No
     return chosen
 
 
+def farthest_seeds(points: DataFrame, n: int) -> list[tuple[int, float | None]]:
+    """(id, distance to those before): greedy max-min seeds of a table of any size from its smallest id on, ties to the smaller id; one aggregate a seed."""
+    if points.limit(n).count() < n:
+        raise ValueError("more seeds than points")
+    first = points.agg(F.min_by(F.struct("id", "v"), "id").alias("s")).first()["s"]
+    chosen, at = [(first["id"], None)], [first["v"]]
+    while len(chosen) < n:
+        seeds = [F.array(*(F.lit(float(x)) for x in v)) for v in at]
+        gap = F.sqrt(F.least(*(distance_squared(F.col("v"), s) for s in seeds))) if len(seeds) > 1 else F.sqrt(distance_squared(F.col("v"), seeds[0]))
+        best = points.select("id", "v", gap.alias("gap")).agg(F.max_by(F.struct("id", "v", "gap"), F.struct("gap", -F.col("id"))).alias("s")).first()["s"]
+        chosen.append((best["id"], best["gap"]))
+        at.append(best["v"])
+    return chosen
+
+
 def contract(centers_: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(cell, center, merged): centres joined along edges shorter than ``threshold`` (transitively) become their mean; cells are renumbered by smallest member."""
     rows = {r["cell"]: r["center"] for r in centers_.orderBy("cell").limit(FEW).collect()}

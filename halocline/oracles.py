@@ -144,6 +144,7 @@ SELECT id, round(list_sum(list_transform(vw, lambda q: q[1] * q[2])), 9) AS dot,
   round(sqrt(list_sum(list_transform(v, lambda q: q * q))), 9) AS norm, round(list_sum(list_transform(v, lambda q: q * q)), 9) AS norm_squared, round(list_sum(v), 9) AS total, round(list_sum(v) / 8, 9) AS mean, v = w AS same FROM z""",
     "vector_elements": _elements(),
     "distance_matrix_small": f"WITH p AS ({WIDE}) SELECT a.id AS id, b.id AS other, round(sqrt({FAR}), 9) AS distance FROM p a JOIN p b ON a.id < b.id WHERE b.id < 20",
+    "distances_to_first": f"WITH p AS ({WIDE}) SELECT a.id AS query, b.id AS id, round(sqrt({FAR}), 9) AS distance FROM p a, p b WHERE a.id < 20",
     "core_flags_emb2d": f"WITH p AS ({E2}) SELECT a.id AS id, count(*) >= {MIN_PTS} AS is_core FROM p a JOIN p b ON {near('a', 'b', EPS2)} GROUP BY a.id",
     "cluster_sizes": DBSCAN2 + "\nSELECT cluster_id, count(*) FILTER (kind = 'core') AS n_core, count(*) FILTER (kind = 'border') AS n_border FROM r WHERE cluster_id >= 0 GROUP BY cluster_id",
     "noise_points": DBSCAN2 + "\nSELECT id FROM r WHERE kind = 'noise'",
@@ -166,6 +167,7 @@ SELECT id, round(list_sum(list_transform(vw, lambda q: q[1] * q[2])), 9) AS dot,
     "hash_sample": f"WITH p AS ({CUSTOMER}) SELECT id FROM p ORDER BY md5('7:' || id), id LIMIT 50",
     "kmeans_fixed_iters": _kmeans(3),
     "farthest_point_seeds": _farthest(6),
+    "farthest_point_seeds_all": _farthest(6).replace(" WHERE vec_id < 500", ""),
     "contract_close_cells": CONTRACT,
     "delaunay2d_edges": f"WITH {PLANE} SELECT u, v FROM ed",
     "csr_rows": f"WITH {PLANE}, b AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), l AS (SELECT u, count(*) AS n, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS neighbors FROM b GROUP BY u) SELECT u, CAST(sum(n) OVER (ORDER BY u) - n AS BIGINT) AS \"start\", CAST(sum(n) OVER (ORDER BY u) AS BIGINT) AS \"end\", neighbors FROM l",

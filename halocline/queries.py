@@ -107,6 +107,13 @@ def distance_matrix_small(spark, sf):
     return few.join(F.broadcast(other), F.col("id") < F.col("other")).select("id", "other", _r(V.distance(F.col("v"), F.col("w")), "distance"))
 
 
+def distances_to_first(spark, sf):
+    """Every row's distance to each of 20 stated query points, which are one broadcast block."""
+    every = emb(spark, sf, None)
+    asked = every.where("id < 20").select(F.col("id").alias("query"), F.col("v").alias("w"))
+    return every.join(F.broadcast(asked)).select("query", "id", _r(V.distance(F.col("w"), F.col("v")), "distance"))
+
+
 def core_flags_emb2d(spark, sf):
     return D.core_points(emb(spark, sf, 2), EPS2, MIN_PTS, 2).select("id", "is_core")
 
@@ -246,6 +253,12 @@ def farthest_point_seeds(spark, sf):
     return spark.createDataFrame([(i, int(r), round(g, 9) if i else None) for i, (r, g) in enumerate(rows)], "step long, id long, gap double")
 
 
+def farthest_point_seeds_all(spark, sf):
+    """The seeds of the whole table; farthest_point_seeds are those of its first 500 ids."""
+    rows = sampling.farthest_seeds(emb(spark, sf, 2), 6)
+    return spark.createDataFrame([(i, r, g if g is None else round(g, 9)) for i, (r, g) in enumerate(rows)], "step long, id long, gap double")
+
+
 def contract_close_cells(spark, sf):
     centers = first_centers(spark, sf, N_PLANE)
     return sampling.contract(centers, delaunay.edges(centers, 2), 0.06).select(F.col("cell").cast("long").alias("cell"), _r(F.col("center")[0], "x"), _r(F.col("center")[1], "y"), "merged")
@@ -300,10 +313,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dbscan_emb2d, dbscan_emb3d, dbscan_customer, dbscan_part, dbscan_events, dbscan_emb64, dbscan_voronoi_emb2d,
         eps_pairs_emb2d, range_count_part, range_query_fixed_point, has_neighbor_semi, knn_k3, grid_cells, neighbor_cells,
-        vector_ops, vector_elements, distance_matrix_small, core_flags_emb2d, cluster_sizes, noise_points, cluster_members, run_statistics,
+        vector_ops, vector_elements, distance_matrix_small, distances_to_first, core_flags_emb2d, cluster_sizes, noise_points, cluster_members, run_statistics,
         connected_components_edges, connected_components_stars, streaming_components,
         voronoi_assign, margin_replicas, interior_points, shared_border, cell_stats, local_clusters, pairwise_merges, cluster_map,
-        bounding_box, lattice_centers, lattice_edges, hash_sample, kmeans_fixed_iters, farthest_point_seeds, contract_close_cells,
+        bounding_box, lattice_centers, lattice_edges, hash_sample, kmeans_fixed_iters, farthest_point_seeds, farthest_point_seeds_all, contract_close_cells,
         delaunay2d_edges, csr_rows, round_robin_placement, balanced_placement, entropy_labels, nmi_clusters, csv_roundtrip, fixed_width_labels, sorted_points,
     )
 }

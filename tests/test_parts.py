@@ -9,9 +9,12 @@ from halocline.functions import metrics
 from halocline.functions import vectors as V
 from halocline.operators import delaunay, pairs, sampling
 from halocline.operators.components import connected_components
+from halocline.oracles import ORACLES
 from halocline.plans.clustering import run
+from halocline.queries import QUERIES
 from halocline.sources import csv
 from halocline.streaming.components import StreamingComponents
+from tests.compare import against_oracle
 
 POINTS = "id long, v array<double>"
 
@@ -115,6 +118,17 @@ def test_sampling(spark):
     assert sampling.line_sample(p, 20, 1).count() > 5
 
 
+@pytest.mark.parametrize("name", ["farthest_point_seeds_all", "distances_to_first"])
+def test_no_row_is_left_out(spark, name, tmp_path):
+    """On 1,000 rows, of which the later 500 lie farther out."""
+    rows = [(i, [float((i * 37) % 101) * (1 + (i >= 500)), float((i * 53) % 97) * (1 + (i >= 500))]) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    against_oracle(df, ORACLES[name], tmp_path)
+    assert df.where("id >= 500").count() > 0
+
+
 def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(pairs, "FEW", 4)
     at = [(i, [float(i * i % 41), float(i % 7)]) for i in range(30)]
