@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,16 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset: local tests) a new one."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's own; a new local one only where master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="halocline-"))
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/halocline-{sc.applicationId}"
+    if getattr(sc, "_halocline_scratch", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._halocline_scratch = folder
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the scratch folder: for wide or many rows, where a checkpoint would take several times the disk."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     spark = df.sparkSession
