@@ -1,8 +1,10 @@
 """Quality rules by repetition coverage.
 
-Words and lines of a block of documents are hashed in numpy (a polynomial over
-the bytes), n-grams roll over the word hashes, and what counts is how many
-characters of a text lie inside n-grams or lines that it repeats.
+Words and lines of a block of documents become numbers (a dictionary of their
+bytes), hashes of n-grams of several lengths roll over the words' numbers in
+numpy and bring equal n-grams side by side, where their words are compared. What
+counts is how many characters of a text lie inside n-grams or lines that it
+repeats.
 """
 
 from __future__ import annotations
@@ -42,13 +44,12 @@ def measure(data: np.ndarray, off: np.ndarray, ngrams: dict[int, int] = NGRAM_LI
     np.cumsum(SYMBOLS[data], out=marks[1:])
     out["n_symbols"] = marks[off[1:]] - marks[off[:-1]]
 
-    salt = X.mix(np.arange(1, n + 1, dtype=np.uint64) * X.BASE)
-    units = X.segment_hashes(data, starts, ends)
+    units = X.codes(data, starts, ends)
     failed = 100 * out["n_symbols"] > SYMBOL_LIMIT * out["n_words"]
     for size in sorted({*ngrams, BASE_NGRAM}):
-        hashes = X.window_hashes(units, size)
-        at = np.flatnonzero(doc[: len(hashes)] == doc[size - 1 : size - 1 + len(hashes)])
-        twice = at[X.repeated(X.mix(hashes[at] + salt[doc[at]]))]
+        last = max(len(units) - size + 1, 0)
+        at = np.flatnonzero(doc[:last] == doc[size - 1 : size - 1 + last])
+        twice = at[X.repeated_windows(units, doc, at, size)]
         hit = X.covered(twice, size, len(units))
         if size == BASE_NGRAM:
             out["n_repeat_words"] = per_doc(doc[hit])
@@ -63,7 +64,7 @@ def measure(data: np.ndarray, off: np.ndarray, ngrams: dict[int, int] = NGRAM_LI
     filled = np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends)
     line_starts, line_ends = line_starts[filled], line_ends[filled]
     line_doc = np.searchsorted(off, line_starts, "right") - 1
-    keys = X.mix(X.segment_hashes(data, line_starts, line_ends) + salt[line_doc])
+    keys = X.codes(data, line_starts, line_ends) * np.uint64(n) + line_doc.astype(np.uint64)
     order = np.argsort(keys, kind="stable")
     again = order[1:][keys[order[1:]] == keys[order[:-1]]]
     line_chars = heads[line_ends] - heads[line_starts]
@@ -79,9 +80,10 @@ def repetition(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngra
     """doc_id, the five counts, base_failed and kept of every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no word and so
-    fail the base; repeated rows are measured alike; an empty table gives no
-    row; other columns are not read. No shuffle; a worker holds a few times the
-    larger of BLOCK_BYTES and one text.
+    fail the base; repeated rows are measured alike, each for itself; an empty
+    table gives no row; other columns are not read. A text of any length is one
+    pass over it. No shuffle; a worker holds a few times the larger of
+    BLOCK_BYTES and one text.
     """
     ngrams = ngrams or NGRAM_LIMITS
 

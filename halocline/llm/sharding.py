@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from halocline.llm.text import mix, small_batches
+from halocline.llm.text import mix
+from halocline.session import ship
 
-#: Buckets of the total order; their counts are the only table that is broadcast.
-BUCKETS = 4096
+#: Buckets of the total order; their counts are the only table that is broadcast, and a bucket is what one task sorts.
+BUCKETS = 1 << 14
 ROUNDS = 6
 
 
@@ -68,7 +69,7 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 17, doc_id: str = "doc_id"
     Shard k takes the permuted numbers k, k + n_shards, ...: row counts differ
     by one at most and slots have no gap.
     """
-    small_batches(docs.sparkSession, 10_000)
+    ship(docs.sparkSession)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw).cast("long") + 8).alias("size"), F.crc32(raw).alias("text_crc32"))
     at = row_numbers(narrow, ["doc_id", "text_crc32", "size"]).withColumn("_at", permuted(F.col("row_no"), F.col("n_rows"), seed))

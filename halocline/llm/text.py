@@ -14,6 +14,9 @@ from halocline.session import ship
 #: Bytes of text that one numpy pass holds at most, unless a single document is larger.
 BLOCK_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch, unless a single row is larger.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 #: Bytes whose hash sums are held at once: small, as each takes three 8-byte values.
 HASH_BYTES = 256 << 10
 
@@ -103,8 +106,37 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+def contents(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the segments (sorted, not overlapping) as large_binary."""
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    np.subtract.at(step, ends, 1)
+    inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    offsets = np.append(0, np.cumsum(ends - starts))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+
+
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each segment, equal for equal bytes and for no others; it means something in this call only."""
+    return contents(data, starts, ends).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): the words with one space between those of a document, so that a slice from one word's start to another's end is canonical."""
+    keep = ~IS_SPACE[data]
+    trailing = ends[ends < len(data)]
+    keep[trailing[IS_SPACE[data[trailing]]]] = True
+    plain = np.where(IS_SPACE[data], np.uint8(0x20), data)
+    at = (np.cumsum(keep) - 1)[starts]
+    return plain[keep].tobytes(), at, at + (ends - starts)
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = HASH_BYTES) -> np.ndarray:
-    """A 64-bit hash of each segment's bytes. Segments are sorted and don't overlap; memory follows ``most`` or the longest segment."""
+    """A 64-bit hash of each segment's bytes. Segments are sorted and don't overlap; memory follows ``most`` or the longest segment.
+
+    A polynomial mod 2**64 collides on constructible bytes, so this only picks
+    anchors and buckets; whatever decides a result compares the bytes.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -129,14 +161,24 @@ def window_hashes(units: np.ndarray, n: int) -> np.ndarray:
     return sums
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which keys are found twice or more."""
-    s = np.sort(keys)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(twice):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-    return twice[at] == keys
+def repeated_windows(units: np.ndarray, owner: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Which windows of ``n`` units, from the places ``at``, are found twice or more in the document (``owner`` of the first unit) they are in.
+
+    Equal hashes only bring windows side by side; their units are compared.
+    """
+    hashes = mix(window_hashes(mix(units), n)[at] + mix((owner[at].astype(np.uint64) + np.uint64(1)) * BASE))
+    order = np.argsort(hashes, kind="stable")
+    near = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    a, b = at[order[near]], at[order[near + 1]]
+    same = owner[a] == owner[b]
+    for k in range(n):
+        same &= units[a + k] == units[b + k]
+    out = np.zeros(len(at), bool)
+    if not same.all():  # a collision: count the windows themselves
+        _, group, count = np.unique(np.column_stack([owner[at].astype(np.uint64), *(units[at + k] for k in range(n))]), axis=0, return_inverse=True, return_counts=True)
+        return count[group.ravel()] > 1
+    out[order[near]] = out[order[near + 1]] = True
+    return out
 
 
 def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -147,7 +189,9 @@ def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def small_batches(spark, rows: int = 256) -> None:
-    """Bound what one Arrow batch of long texts takes in a Python worker; give the workers this package."""
+def small_batches(spark) -> None:
+    """Bound the bytes of one Arrow batch of long texts in a Python worker (a setting that is only ever lowered); give the workers this package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    now = int(spark.conf.get(BATCH_SETTING).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
