@@ -1,25 +1,22 @@
 """Exact byte deduplication by suffix arrays built with induced sorting.
 
-Documents' repeated windows are narrowed down to seeds (see repeats.py); the
-segments around a common gram meet in one shard, whose suffix array is built by
-induced sorting, and windows repeat where common prefixes are long enough.
+Documents' windows are narrowed down to seeds with a common gram (see
+repeats.py); each distinct segment around one goes, with its multiplicity, into
+a shard of whole grams. The shard's suffix array is built by induced sorting,
+and windows repeat where common prefixes are long enough and the suffixes
+together stand for two places or more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from halocline.llm import repeats as R
 from halocline.llm import text as X
 
 WINDOW, GRAM = 200, 50
-#: Bytes of a shard, and distinct segments of one gram that it may get; commoner grams go by window hashes instead.
-SHARD_BYTES, MOST_SEGMENTS = 1 << 20, 4096
 #: Up to this alphabet, induction runs over whole buckets; beyond it, over single suffixes.
 BUCKETWISE = 1024
 
@@ -48,8 +45,9 @@ def _ranks(groups: np.ndarray) -> np.ndarray:
 def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The suffix order that the (sorted) leftmost-smaller suffixes induce, a bucket at a time.
 
-    Within a bucket, suffixes induced by its own are one more wave; the waves
-    are in the order in which single suffixes would come.
+    What a bucket induces in itself are the places before its suffixes in runs
+    of its own letter: all those one step back, then two, and so on, which is
+    known at once. The whole bucket then induces into the others in one step.
     """
     n = len(s)
     counts = np.bincount(s, minlength=k)
@@ -59,47 +57,57 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -
     chars = s[lms]
     per = np.bincount(chars, minlength=k)
     order[ends[chars] - per[chars] + _ranks(chars)] = lms
+    place = np.arange(n)
+    back = place - np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), place, 0))  # equal letters just before
 
     heads = starts.copy()
-    larges = np.bincount(s[~small], minlength=k)
     for c in np.flatnonzero(counts):
-        at, wave = starts[c], None
-        while True:
-            wave = order[at : heads[c]] if at < heads[c] else None
-            if wave is None:
-                break
-            at = heads[c]
-            _put(order, heads, s, wave, ~small, 1)
+        own = _before_in_runs(order[starts[c] : heads[c]], back)
+        order[heads[c] : heads[c] + len(own)] = own
+        heads[c] += len(own)
+        _put(order, heads, s, order[starts[c] : heads[c]], c, 1)
         if per[c]:
-            _put(order, heads, s, order[ends[c] - per[c] : ends[c]], ~small, 1)
+            _put(order, heads, s, order[ends[c] - per[c] : ends[c]], c, 1)
     # the smaller ones are placed anew, from the right
-    tails = ends.copy()
+    larges, tails = counts - np.bincount(s[small], minlength=k), ends.copy()
     for c in np.flatnonzero(counts)[::-1]:
-        at = ends[c]
-        while at > tails[c]:
-            wave = order[tails[c] : at][::-1]
-            at = tails[c]
-            _put(order, tails, s, wave, small, -1)
+        own = _before_in_runs(order[tails[c] : ends[c]][::-1], back)
+        order[tails[c] - len(own) : tails[c]] = own[::-1]
+        tails[c] -= len(own)
+        _put(order, tails, s, order[tails[c] : ends[c]][::-1], c, -1)
         if larges[c]:
-            _put(order, tails, s, order[starts[c] : starts[c] + larges[c]][::-1], small, -1)
+            _put(order, tails, s, order[starts[c] : starts[c] + larges[c]][::-1], c, -1)
     order[0] = n - 1
     return order
 
 
-def _put(order: np.ndarray, ends: np.ndarray, s: np.ndarray, wave: np.ndarray, wanted: np.ndarray, way: int) -> None:
-    """Put the wanted predecessors of a wave at their buckets' ends (heads or tails), in order."""
+def _before_in_runs(wave: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The places one step before those of a wave in their runs, then those two steps before, and so on."""
+    depth = back[wave]
+    total = int(depth.sum())
+    if not total:
+        return wave[:0]
+    owner = np.repeat(np.arange(len(wave)), depth)
+    step = np.arange(total) - np.repeat(np.cumsum(depth) - depth, depth) + 1
+    by = np.argsort(step.astype(np.uint16) if step.max() < 1 << 16 else step, kind="stable")
+    return wave[owner[by]] - step[by]
+
+
+def _put(order: np.ndarray, ends: np.ndarray, s: np.ndarray, wave: np.ndarray, c: int, way: int) -> None:
+    """Put the predecessors of a wave of bucket ``c`` that lie in later (way 1) or earlier (-1) buckets at those buckets' ends (heads or tails), in order."""
     before = wave[wave > 0] - 1
-    before = before[wanted[before]]
+    to = s[before]
+    wanted = to > c if way > 0 else to < c
+    before, to = before[wanted], to[wanted]
     if not len(before):
         return
-    c = s[before]
-    by = np.argsort(c, kind="stable")
-    before, c = before[by], c[by]
-    first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-    size = np.diff(np.append(first, len(c)))
-    rank = np.arange(len(c)) - np.repeat(first, size)
-    order[ends[c] + rank if way > 0 else ends[c] - 1 - rank] = before
-    ends[c[first]] += way * size
+    by = np.argsort(to, kind="stable")
+    before, to = before[by], to[by]
+    first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    size = np.diff(np.append(first, len(to)))
+    rank = np.arange(len(to)) - np.repeat(first, size)
+    order[ends[to] + rank if way > 0 else ends[to] - 1 - rank] = before
+    ends[to[first]] += way * size
 
 
 def _induce_single(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
@@ -110,27 +118,50 @@ def _induce_single(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) ->
     chars = s[lms]
     per = np.bincount(chars, minlength=k)
     order[ends[chars] - per[chars] + _ranks(chars)] = lms
-    line, text, is_small = order.tolist(), s.tolist(), small.tolist()
-    heads, tails = (ends - counts).tolist(), ends.tolist()
+    # the letter before each place, if the place before is of the wanted type; -1 otherwise, and where nothing is filled in yet
+    before = np.append(np.append(-1, s[:-1].astype(np.int64)), -1)
+    is_small = np.append(np.append(False, small[:-1]), False)
+    line, large_before, small_before = order.tolist(), np.where(is_small, -1, before).tolist(), np.where(is_small, before, -1).tolist()
+    heads, tails = (ends - counts).tolist(), (ends - 1).tolist()
     for j in line:
-        if j > 0 and not is_small[j - 1]:
-            c = text[j - 1]
-            line[heads[c]] = j - 1
-            heads[c] += 1
+        c = large_before[j]
+        if c >= 0:
+            h = heads[c]
+            line[h] = j - 1
+            heads[c] = h + 1
     for i in range(len(line) - 1, -1, -1):
         j = line[i]
-        if j > 0 and is_small[j - 1]:
-            c = text[j - 1]
-            tails[c] -= 1
-            line[tails[c]] = j - 1
+        c = small_before[j]
+        if c >= 0:
+            t = tails[c]
+            line[t] = j - 1
+            tails[c] = t - 1
     line[0] = len(s) - 1
     return np.array(line, np.int64)
 
 
+def _order_named(lms: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The leftmost-smaller suffixes in order, by recursion on the string of their substrings' names.
+
+    A name found once settles every comparison that reaches it. So the names
+    after it are left out up to the next common one; their own suffixes are in
+    the order of the names already.
+    """
+    once = np.bincount(names)[names] == 1
+    kept = np.flatnonzero(~(once & np.append(False, once[:-1])) | (np.arange(len(names)) == len(names) - 1))
+    _, short = np.unique(names[kept], return_inverse=True)
+    ranked = kept[_sort(short.astype(np.int64), int(short.max()) + 1)]
+    out = np.ones(len(names), bool)
+    out[kept] = False
+    every = np.concatenate([ranked, np.flatnonzero(out)])
+    return lms[every[np.argsort(names[every], kind="stable")]]
+
+
 def _sort(s: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of ``s``, whose last value 0 is its only one."""
     if len(s) == 1:
         return np.zeros(1, np.int64)
+    s = s.astype(np.uint16) if k <= 1 << 16 else s  # numpy sorts two-byte values in linear time
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     induce = _induce_buckets if k <= BUCKETWISE else _induce_single
@@ -155,7 +186,7 @@ def _sort(s: np.ndarray, k: int) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         name = np.zeros(len(s), np.int64)
         name[ordered] = names
-        lms = lms[_sort(name[lms], int(names[-1]) + 1)]
+        lms = _order_named(lms, name[lms])
     else:
         lms = ordered
     return induce(s, small, lms, k)
@@ -180,92 +211,40 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     reducible[reducible] = (data[place[reducible] - 1] == data[phi[reducible] - 1]) & (phi[place[reducible] - 1] == phi[reducible] - 1)
     shared = np.zeros(n, np.int64)
     active = np.flatnonzero(~reducible & (phi >= 0))
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(wide, (n, 8), (1, 1)).copy().view("<u8").ravel()  # the eight bytes from each place on
     step = 0
-    while len(active):
-        inside = (active + step < n) & (phi[active] + step < n)
-        active = active[inside]
-        active = active[data[active + step] == data[phi[active] + step]]
-        step += 1
+    while len(active):  # whole eights first
+        a, b = active + step, phi[active] + step
+        fits = np.maximum(a, b) + 8 <= n
+        same = fits & (eight[np.where(fits, a, 0)] == eight[np.where(fits, b, 0)])
         shared[active] = step
+        active = active[same]
+        step += 8
+    active = np.flatnonzero(~reducible & (phi >= 0))
+    for _ in range(8):
+        a, b = active + shared[active], phi[active] + shared[active]
+        active = active[np.maximum(a, b) < n]
+        active = active[data[active + shared[active]] == data[phi[active] + shared[active]]]
+        shared[active] += 1
     nearest = np.maximum.accumulate(np.where(reducible, 0, place))
     return (shared[nearest] + nearest - place)[order]
 
 
-def shard_repeats(data: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
-    """Which places of a shard of segments start ``window`` bytes, inside their segment, that also start at another such place."""
-    out = np.zeros(len(data), bool)
-    if not len(data):
-        return out
-    order = suffix_array(data)
-    group = np.cumsum(common_prefixes(data, order) < window)
-    left = np.repeat(off[1:], np.diff(off)) - np.arange(len(data))
-    valid = left[order] >= window
-    count = np.bincount(group, valid)
-    out[order] = valid & (count[group] > 1)
-    return out
+def shard_repeats(window: int) -> R.Search:
+    """The search of repeats.shard_rows() by a shard's suffix array: suffixes in a row that share ``window`` bytes are one window's places."""
 
+    def search(data, off, group, low, high, x, y, c) -> np.ndarray:
+        order = suffix_array(data)
+        shared = np.cumsum(common_prefixes(data, order) < window)
+        rank = np.empty(len(data), np.int64)
+        rank[order] = shared
+        count = high - low + 1
+        piece = np.repeat(np.arange(len(low)), count)
+        at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count - off[:-1] - low, count)
+        return np.bincount(rank[at], c[piece])[rank[at]] > 1
 
-SEGMENTS = "gram long, doc_id long, t long, first int, segment binary"
-
-
-def segment_rows(rows: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """The bytes of the chosen seeds (gram, doc_id, t, first, n)."""
-    lists = chosen.groupBy("doc_id", "t").agg(F.collect_set(F.struct("gram", "first", "n")).alias("s"))
-    texts = R.with_lists(R.met(rows, chosen)[0].dropDuplicates(["doc_id", "t"]), lists, "inner").select("doc_id", "t", "text", "s.gram", "s.first", "s.n")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts_ = X.as_bytes(batch.column(2))
-            edges = batch.column(3).offsets.to_numpy()
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(edges)))
-            grams, first, n = (batch.column(i).flatten() for i in (3, 4, 5))
-            parts = []
-            for text, a, b in zip(texts_, edges[:-1].tolist(), edges[1:].tolist()):
-                raw = text.as_py()
-                parts += [raw[x : x + y - 1 + window] for x, y in zip(first[a:b].to_pylist(), n[a:b].to_pylist())]
-            if parts:
-                yield pa.RecordBatch.from_arrays([grams, batch.column(0).take(owner), batch.column(1).take(owner), first, pa.array(parts, pa.binary())], names=["gram", "doc_id", "t", "first", "segment"])
-
-    return texts.mapInArrow(run, SEGMENTS)
-
-
-def shard_rows(segments: DataFrame, window: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, t, first, n): runs of repeated windows, from shards of whole grams."""
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-        for batch in batches:
-            at = 0
-            grams = batch.column(0).to_numpy()
-            lengths = np.append(0, np.cumsum(np.diff(X.buffers(X.as_bytes(batch.column(4)))[1])))
-            for cut_ in [*(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]:
-                if size >= shard_bytes and last is not None and grams[at] != last:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, size = [], 0
-                held.append(batch.slice(at, cut_ - at))
-                size, last, at = size + int(lengths[cut_] - lengths[at]), grams[cut_ - 1], cut_
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(b for b in batches if b.num_rows):
-            data, off = X.buffers(X.as_bytes(shard.column(4)))
-            hit = shard_repeats(data, off, window)
-            new = hit.copy()
-            new[1:] &= ~hit[:-1]
-            heads = off[:-1][off[:-1] < off[1:]]
-            new[heads] = hit[heads]
-            start = np.flatnonzero(new)
-            owner = np.searchsorted(off, start, "right") - 1
-            total = np.append(0, np.cumsum(hit))
-            ends = np.append(start[1:], len(data))
-            n = total[ends] - total[start]
-            to = pa.array(owner)
-            first = shard.column(3).to_numpy()[owner] + (start - off[owner])
-            yield pa.RecordBatch.from_arrays([shard.column(1).take(to), shard.column(2).take(to), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "t", "first", "n"])
-        X.release()
-
-    return segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "doc_id long, t long, first int, n int")
+    return search
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -283,20 +262,17 @@ def _cut(ids, data, off, starts, ends, place, gone) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(n - np.diff(keep[off])), pa.array(np.diff(runs[off])), kept.cast(pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", most_segments: int = MOST_SEGMENTS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", most: int = R.MOST_KINDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row.
 
     Bytes covered by ``window`` bytes that also start elsewhere (same text
     included; matches never cross texts) go; ``kept`` are the others. Null texts
     are empty; shorter texts lose nothing; repeated rows repeat each other and
     lose all; null ids stay; an empty table gives no row; other columns are not
-    read. Grams with more than ``most_segments`` distinct surroundings would
-    make a shard too large: their windows are counted by 64-bit hash instead,
-    which is the same result for any number of them.
+    read. A text of any length is one row of a batch; its segments are what
+    meets others. A group of more than ``most`` distinct segments is split by
+    the bytes next to its gram.
     """
     X.small_batches(docs.sparkSession)
     unit, rows = R.Unit(False, window, gram), R.keyed(docs, doc_id, text)
-    done, open_ = R.split_seeds(rows, unit)
-    few, many = open_.where(F.col("n_segments") <= most_segments), open_.where(F.col("n_segments") > most_segments)
-    found = done.unionByName(shard_rows(segment_rows(rows, few, window), window)).unionByName(R.repeated_windows(R.window_rows(rows, many, unit)))
-    return R.remove(rows, found, unit, _cut, SCHEMA)
+    return R.remove(rows, R.repeats(rows, unit, shard_repeats(window), most), unit, _cut, SCHEMA)

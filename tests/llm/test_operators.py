@@ -72,20 +72,20 @@ def covered(units, window):
     return gone
 
 
-@pytest.mark.parametrize("window,gram", [(12, 4), (35, 8)])
-def test_substrings(spark, window, gram):
+@pytest.mark.parametrize("window,gram,most", [(12, 4, 4096), (12, 4, 1), (35, 8, 4096)])
+def test_substrings(spark, window, gram, most):
     words = [WORD.findall(t or "") for t in texts()]
     gone = covered(words, window)
-    got = {r["doc_id"]: r for r in substrings.dedup(documents(spark), window, gram).collect()}
+    got = {r["doc_id"]: r for r in substrings.dedup(documents(spark), window, gram, most=most).collect()}
     for i, (w, g) in enumerate(zip(words, gone)):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == (len(w), sum(g), " ".join(x for x, y in zip(w, g) if not y)), i
 
 
-@pytest.mark.parametrize("window,gram,most", [(40, 10, 4096), (40, 10, 2), (200, 50, 4096)])
+@pytest.mark.parametrize("window,gram,most", [(40, 10, 4096), (40, 10, 1), (200, 50, 4096)])
 def test_suffixes(spark, window, gram, most):
     raw = [(t or "").encode() for t in texts()]
     gone = covered(raw, window)
-    got = {r["doc_id"]: r for r in suffixes.dedup(documents(spark), window, gram, most_segments=most).collect()}
+    got = {r["doc_id"]: r for r in suffixes.dedup(documents(spark), window, gram, most=most).collect()}
     for i, (w, g) in enumerate(zip(raw, gone)):
         spans = sum(y and not z for y, z in zip(g, [False, *g]))
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(w), sum(g), spans, bytes(x for x, y in zip(w, g) if not y)), i
