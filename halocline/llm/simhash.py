@@ -1,4 +1,11 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing."""
+"""SimHash near-duplicates by covering locality-sensitive hashing.
+
+Fingerprints meet in the tables of a covering family; in a table's bucket they
+agree on the bits that its mask keeps, and pairs of (distinct) fingerprints in
+it are verified on the others. A bucket too large for that is covered again over
+the bits that its mask leaves out, until it is small or so few bits are left out
+that all its fingerprints are within the radius, where a star links them.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +23,8 @@ from halocline.operators.components import star_edges
 from halocline.session import cut
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: Fingerprints of a bucket whose pairs are compared; larger buckets are covered again.
+BUCKET = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -24,16 +33,18 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def masks(radius: int = RADIUS) -> list[int]:
-    """The 2**(radius+1)-1 bit masks of the covering family over 64 bits.
+def masks(radius: int = RADIUS, kept: int = 0) -> list[int]:
+    """The 2**(radius+1)-1 bit masks of the covering family over the bits that ``kept`` leaves out; all keep ``kept`` too.
 
-    Bit i has the label 1 + i mod (2**(radius+1)-1), a vector over GF(2); mask v
-    keeps the bits whose label has an odd product with v. The labels of up to
-    radius differing bits span less than the whole space, so that some v is
-    orthogonal to them all, and under that mask the two fingerprints agree.
+    The i-th such bit has the label 1 + i mod (2**(radius+1)-1), a vector over
+    GF(2); mask v keeps the bits whose label has an odd product with v. The
+    labels of up to radius differing bits span less than the whole space, so
+    that some v is orthogonal to them all, and under that mask the two
+    fingerprints agree.
     """
     n = 2 ** (radius + 1) - 1
-    return [sum(1 << i for i in range(64) if ((1 + i % n) & v).bit_count() % 2) for v in range(1, n + 1)]
+    free = [i for i in range(64) if not kept >> i & 1]
+    return [kept | sum(1 << i for k, i in enumerate(free) if ((1 + k % n) & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def block_fingerprints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -43,14 +54,7 @@ def block_fingerprints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -
     out = np.zeros(n, np.uint64)
     if not len(starts):
         return out
-    keep = ~X.IS_SPACE[data]
-    trailing = ends[ends < len(data)]
-    keep[trailing[X.IS_SPACE[data[trailing]]]] = True
-    lower = LOWER[data]
-    lower[X.IS_SPACE[data]] = 0x20
-    at = (np.cumsum(keep) - 1)[starts]
-    to = at + (ends - starts)
-    joined = lower[keep].tobytes()  # words with one space between them, within a document
+    joined, at, to = X.spaced(LOWER[data], starts, ends)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
     full = np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, int)
@@ -72,7 +76,12 @@ def block_fingerprints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t, fp): t is a hash of the text; A-Z lower-cased, 3-word shingles, XXH64 with seed 42, majority of bits; no word: 0."""
+    """(doc_id, t, fp) of every row: t is a hash of the text; A-Z lower-cased, 3-word shingles, XXH64 with seed 42, majority of bits.
+
+    Null, empty and blank texts have 0; fewer words than a shingle are one;
+    repeated rows get a row each; null ids stay; an empty table gives no row;
+    other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in X.blocks(batches, most=1 << 20):
@@ -82,25 +91,33 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, t long, fp long")
 
 
-def candidates(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Those (distinct) fingerprints ``fp`` that collide with another one in some table of the covering family."""
-    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks(radius))))
-    rows = distinct.select("fp", F.explode(tables).alias("at")).select("fp", "at.t", "at.key")
-    met = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    return rows.join(met, ["t", "key"]).select("fp").distinct()
-
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints ``fp`` with the components of "radius or fewer differing bits".
 
-def links(near: DataFrame) -> DataFrame:
-    """Edges (u, v) with the components of "two or fewer differing bits", a number in proportion to the fingerprints.
-
-    Two fingerprints differ in two bits or fewer just if some value is at most
-    one bit from both. All fingerprints around such a value link to each other,
-    so a star from the smallest of them has their component; no pairs are made.
+    Every pair within the radius is in some bucket of every covering of it, and
+    is verified there, or lies in a star; buckets of up to ``most`` fingerprints
+    make no more than most / 2 comparisons for each of them.
     """
-    around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    ball = near.select("fp", F.explode(around).alias("mid"))
-    least = ball.groupBy("mid").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("mid", "low")
-    return ball.join(least, "mid").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+    spark, found = distinct.sparkSession, None
+    rows = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks(radius)))).alias("mask"))
+    while True:
+        keyed_ = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        size = keyed_.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1")
+        met = cut(keyed_.join(size, ["mask", "key"]))
+        open_ = 64 - F.bit_count("mask")
+        star = met.where((open_ <= radius) & (F.col("fp") != F.col("low"))).select(F.col("fp").alias("u"), F.col("low").alias("v"))
+        few = met.where((open_ > radius) & (F.col("n") <= most)).select("mask", "key", "fp")
+        other = few.withColumnRenamed("fp", "other")
+        near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+        pairs = few.join(other, ["mask", "key"]).where(near).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+        edges = star.union(pairs)
+        found = edges if found is None else found.union(edges)
+        large = met.where((open_ > radius) & (F.col("n") > most)).select("fp", "mask")
+        used = [r["mask"] for r in large.select("mask").distinct().collect()]  # of a family of masks, whatever the data
+        if not used:
+            return found.distinct()
+        finer = spark.createDataFrame([(m, _signed(x)) for m in used for x in masks(radius, m % 2**64)], "mask long, finer long")
+        rows = large.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,13 +126,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Null, empty and blank texts have fingerprint 0 and link like any other;
     repeated rows share a component and each gets a row; component_id is the
     smallest non-null doc_id reachable (null if there is none); an empty table
-    gives no row; other columns are not read. Equal fingerprints are one vertex,
+    gives no row; other columns are not read; a text of any length is hashed
+    whole, a part of its shingles at a time. Equal fingerprints are one vertex,
     so copies add no links. t (a hash of the text) tells apart rows with the
     same id, root (the least fingerprint) the components.
     """
     prints = cut(fingerprints(docs, doc_id, text))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
-    star = star_edges(links(cut(candidates(distinct.select("fp")))))
+    star = star_edges(links(distinct.select("fp")))
     rooted = distinct.join(star, distinct["fp"] == star["hi"], "left").select("fp", "low_id", F.coalesce("lo", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
     named = rooted.join(component, "root").select("fp", "root", "component_id")
@@ -123,7 +141,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest id's (then the least text hash's; null ids come last)."""
+    """``docs`` with one row of each component: the smallest id's (then the least text hash's; null ids come last).
+
+    Of rows with the same id and text one stays; all texts without a word are
+    one component; all columns stay as they are; empty in, empty out.
+    """
     near = near_duplicates(docs, doc_id, text)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("t").alias("t")))
     stay = near.groupBy("root").agg(first.alias("one")).select("one.doc_id", "one.t")
