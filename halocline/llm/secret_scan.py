@@ -39,18 +39,20 @@ class Rule:
 _NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 BASE = (
     Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    # a shorter run holds no longer one, so that the least length can be part of these two
+    Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Base kinds first: a span's place in the results follows this order.
+_BEGIN, _END = ("-----%s [A-Z ]{0,40}PRIVATE KEY-----" % w for w in ("BEGIN", "END"))
+#: Base kinds first: a span's place in the results follows this order. A private
+#: key goes to its END line, or where there is none to the end of its base64
+#: lines. No pattern starts over inside what it has passed, beyond a bounded part.
 RULES = (
     *BASE,
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40),
+    Rule("pem", rf"{_BEGIN}[A-Za-z0-9+/=\x09-\x0D\x20]*{_END}|{_BEGIN}(?:[\x09-\x0D\x20]*[A-Za-z0-9+/=\r\n]{{40,}})?", 0, 1, 2),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}", 0, 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,256}[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 40, 2),
 )
-#: For the test whether a text needs a closer look: runs below the least length don't.
-SCREENS = {"hex": r"[0-9a-f]{16}", "access": r"AKIA[A-Z0-9]{14}", "github": r"gh[oprsu]_[A-Za-z0-9]{36}"}
 
 
 def blob_id(text: Column) -> Column:
@@ -69,24 +71,32 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return once.join(sized(seen, F.size("seen")), "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
 
 
+def _located(rule: Rule) -> Column:
+    """A rule's matches in ``text``: the lengths of the text before each, of it and of its group; after the last one, the rest with nulls."""
+
+    def match(pair: Column, no: Column) -> Column:
+        m = pair["m"]
+        value = F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m
+        return F.struct(F.length(pair["g"]).alias("gap"), F.length(m).alias("len"), F.length(value).alias("size"), no.alias("no"), F.lit(rule.key).alias("key"))
+
+    kind = "array<struct<gap:int,len:int,size:int,no:int,key:string>>"
+    between, whole = F.split(F.col("text"), rule.pattern, -1), F.regexp_extract_all(F.col("text"), F.lit(rule.pattern), F.lit(0))
+    rows = F.transform(F.zip_with(between, whole, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), match)
+    wanted = F.array_contains("todo", rule.key) & F.col("text").rlike(rule.pattern)
+    return F.when(wanted, rows.cast(kind)).otherwise(F.array().cast(kind))
+
+
 def findings(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob_id, kind, version, start, end) of each match that counts, in code points, end exclusive.
+    """(blob_id, kind, version, start, end) of each match that counts, in code points, end exclusive, of the ``todo`` rules of :func:`unseen`.
 
     Splitting at the matches gives the text between them; lengths summed in
-    order are the places. Only texts with a match leave the row they are in.
+    order are the places. Only matches leave the row they are in. Empty texts
+    have none; an empty table gives no row.
     """
-    parts = []
-    for r in rules:
-        between = F.split(F.col("text"), r.pattern, -1)
-        whole, value = (F.regexp_extract_all(F.col("text"), F.lit(r.pattern), F.lit(g)) for g in (0, r.group))
-        n = F.size(whole) + 1
-        rows = F.arrays_zip(between.alias("gap"), whole.alias("whole"), value.alias("value"), F.sequence(F.lit(1), n).alias("no"), F.array_repeat(F.lit(r.key), n).alias("key"))
-        wanted = F.array_contains("todo", r.key) & F.col("text").rlike(SCREENS.get(r.kind, r.pattern))
-        parts.append(F.when(wanted, rows.cast("array<struct<gap:string,whole:string,value:string,no:int,key:string>>")).otherwise(F.array().cast("array<struct<gap:string,whole:string,value:string,no:int,key:string>>")))
-    hits = blobs.select("blob_id", F.explode(F.concat(*parts)).alias("m")).where("m.whole is not null")
-    hits = hits.select("blob_id", "m.key", "m.no", F.length("m.gap").cast("long").alias("gap"), F.length("m.whole").cast("long").alias("len"), F.length("m.value").alias("size"))
+    parts = [_located(r) for r in rules]
+    hits = blobs.select("blob_id", F.explode(F.concat(*parts)).alias("m")).where("m.len is not null").select("blob_id", "m.*")
     so_far = Window.partitionBy("blob_id", "key").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = hits.dropDuplicates(["blob_id", "key", "no"]).withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far))
+    placed = hits.dropDuplicates(["blob_id", "key", "no"]).withColumn("end", F.sum((F.col("gap") + F.col("len")).cast("long")).over(so_far))
     least = F.create_map(*(x for r in rules for x in (F.lit(r.key), F.lit(r.least))))
     counts = placed.where(F.col("size") >= least[F.col("key")])
     name = F.split("key", "@")
@@ -116,7 +126,11 @@ class Ledger:
         return self._read("pairs")
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> None:
-        """Scan what is new in ``versions`` (any number of rows a path) and add it to the ledger."""
+        """Scan what is new in ``versions`` (any number of rows a path) and add it to the ledger.
+
+        Null texts are the empty blob; repeated rows and equal texts are one
+        blob; an empty table adds nothing; other columns are not read.
+        """
         blobs = unseen(versions, self.pairs, rules, path, text)
         found = findings(blobs, rules)
         pairs = blobs.select("blob_id", F.explode("todo").alias("key")).select("blob_id", F.split("key", "@")[0].alias("kind"), F.split("key", "@")[1].cast("int").alias("version"))
@@ -155,7 +169,10 @@ def rendered(items: Column) -> Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with each found span (overlapping ones as one) replaced by ``mark``; other columns and rows stay."""
+    """``docs`` with each found span (overlapping ones as one) replaced by ``mark``; other columns and rows stay.
+
+    Null texts stay null; repeated rows are each redacted; empty in, empty out.
+    """
     at = Window.partitionBy("blob_id").orderBy("start", "end")
     ahead = F.max("end").over(at.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.select("blob_id", "start", "end").withColumn("_new", F.when(F.col("start") < ahead, 0).otherwise(1))
