@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halocline.llm import text as X
-from halocline.session import cut, shared_dir
+from halocline.session import cut, scratch, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
+#: What a record's content begins with.
+HEAD = b"WARC/1."
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 128 << 10
+DAMAGED = "damaged"
 #: Payloads under this size are always stored.
 LEAST_REVISIT = 100
 #: Up to so many repeated payloads are broadcast (under 100 bytes each); more are joined by shuffle.
@@ -97,21 +100,30 @@ class _Window:
         return memoryview(self.data)[at - self.at :]
 
 
-def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at ``at``, if it is one of a WARC record: its head decodes, and its checksum holds."""
-    coder, parts, head = zlib.decompressobj(31), [], b""
+def _member(window: _Window, at: int) -> tuple[bytes | None, int] | None:
+    """(content, end) of the gzip member at ``at``, if its head decodes to that of a WARC record; content is None if the rest is cut off or damaged."""
+    first, coder, head = at, zlib.decompressobj(31), b""
+    try:
+        while len(head) < len(HEAD) and not coder.eof and at < window.size:
+            piece = window.get(at)
+            head += coder.decompress(piece, len(HEAD) - len(head))
+            at += len(piece) - len(coder.unconsumed_tail) - len(coder.unused_data)
+            if not HEAD.startswith(head):
+                return None
+    except zlib.error:
+        return None
+    if head != HEAD:
+        return None
+    parts = [head]
     try:
         while not coder.eof and at < window.size:
             piece = window.get(at)
             parts.append(coder.decompress(piece))
             at += len(piece) - len(coder.unused_data)
-            if len(head) < 7:
-                head = (head + parts[-1])[:7]
-                if not b"WARC/1.".startswith(head[: len(head)]):
-                    return None
+        parts.append(coder.flush())
     except zlib.error:
-        return None
-    return (b"".join(parts), at) if coder.eof and head == b"WARC/1." else None
+        return None, first + len(MAGIC)
+    return (b"".join(parts), at) if coder.eof else (None, first + len(MAGIC))
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -119,8 +131,10 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in rows}
 
 
-def parse(content: bytes) -> tuple:
-    """(type, id, uri, refers to, digest, payload length, payload) of a record."""
+def parse(content: bytes | None) -> tuple:
+    """(type, id, uri, refers to, digest, payload length, payload) of a record; of a damaged one only the type, ``damaged``."""
+    if content is None:
+        return DAMAGED, *[None] * 6
     head, _, rest = content.partition(b"\r\n\r\n")
     warc = _fields(head)
     block = rest[: int(warc["content-length"])]
@@ -131,8 +145,8 @@ def parse(content: bytes) -> tuple:
     return warc["warc-type"], bare("warc-record-id"), warc.get("warc-target-uri"), bare("warc-refers-to"), warc.get("warc-payload-digest"), length, None if revisit else payload
 
 
-def members(window: _Window, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records that start in [start, end)."""
+def members(window: _Window, start: int, end: int) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, content) of the records that start in [start, end); a damaged one has no content, and what follows its magic is searched again."""
     at = start
     while at < end:
         piece = bytes(window.get(at)[: end - at + len(MAGIC) - 1])
@@ -150,7 +164,13 @@ def members(window: _Window, start: int, end: int) -> Iterator[tuple[int, bytes]
 
 
 def read(files: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
-    """The records of ``files`` (path, bytes), a task for each range of ``split`` bytes; a record belongs to the range its member starts in."""
+    """The records of ``files`` (path, bytes), a task for each range of ``split`` bytes; a record belongs to the range its member starts in.
+
+    A record that is cut off or damaged is a row of type ``damaged`` with its
+    path and offset and nulls. Other columns of ``files`` are not read; repeated
+    files give their records again; empty files and an empty table give none. A
+    record of any length is read by the one task that owns its start.
+    """
     spark = files.sparkSession
     n = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
@@ -164,7 +184,7 @@ def read(files: DataFrame, split: int = SPLIT_BYTES) -> DataFrame:
                     rows, held = [], 0
                     for at, content in members(_Window(file, size), start, min(size, start + split)):
                         rows.append((path, at, *parse(content)))
-                        held += len(content)
+                        held += len(content or b"")
                         if held > X.BLOCK_BYTES:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -179,6 +199,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives, as a URI in the shared folder."""
-    store = shared_dir(spark)
+    """A new folder for archives, as a URI in the scratch folder."""
+    store = scratch(spark)
     return f"{store if ':' in store else 'file://' + store}/warc-{uuid.uuid4().hex}"
