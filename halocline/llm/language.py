@@ -26,8 +26,8 @@ from halocline.session import cut
 SAMPLE_ROWS, SLICE_CHARS, DICTIONARY_BYTES = 96, 1200, 96 << 10
 #: Texts are compressed in pieces of so many bytes, so that the dictionary matters for all of a long one.
 PIECE = 4096
-#: zstandard's level, and the higher one for texts under SHORT bytes, where few matches decide.
-LEVEL, SHORT_LEVEL, SHORT = 6, 12, 512
+#: zstandard's level for every text.
+LEVEL = 9
 #: A text is rejected if the runner-up is larger by less than this share.
 MARGIN = 0.004
 LETTER = regex.compile(r"\p{L}")
@@ -41,7 +41,10 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
     A language's rows fall into SAMPLE_ROWS slots by a hash; the smallest hash in
     each slot is taken (an aggregate with map-side partial results, so a language
     with most rows is no hot spot), and a slice at a hashed place of its text.
-    Only these bounded slices reach the driver.
+    Only these bounded slices reach the driver. Rows without a language or text
+    teach nothing; repeated rows fall into one slot and count once; an empty
+    table, or one without labels, gives an empty model; other columns are not
+    read. Of a long text only the slice is learned.
     """
     row = F.xxhash64(F.col(doc_id), F.lit("sample"))
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN)).select(
@@ -62,17 +65,17 @@ class Classifier:
 
     def __init__(self, model: dict[str, bytes]):
         self.names = sorted(model)
-        self.coders = {level: [self._coder(model[name], level) for name in self.names] for level in (LEVEL, SHORT_LEVEL)}
+        self.coders = [self._coder(model[name]) for name in self.names]
 
     @staticmethod
-    def _coder(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _coder(raw: bytes) -> zstandard.ZstdCompressor:
         own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        own.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
+        own.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, raw: bytes) -> list[int]:
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        return [sum(len(coder.compress(p)) for p in pieces) for coder in self.coders[SHORT_LEVEL if len(raw) < SHORT else LEVEL]]
+        return [sum(len(coder.compress(p)) for p in pieces) for coder in self.coders]
 
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, accepted); the score is the best one's share of 2**-(bytes more than the best)."""
@@ -89,8 +92,8 @@ def classify(docs: DataFrame, model: dict[str, bytes], doc_id: str = "doc_id", t
 
     Null texts, and texts without a letter (empty ones too), are ``und`` with
     score 0 and not accepted; ties go to the first name; repeated rows are
-    judged alike; an empty model makes every text ``und``; no other column is
-    read. No shuffle; the model (bounded above) goes out with the tasks.
+    judged alike; an empty model makes every text ``und``; an empty table gives
+    no row; no other column is read; a text is compressed whole, in pieces. No shuffle; the model (bounded above) goes out with the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +112,10 @@ def accepts(text: Column, model: dict[str, bytes]) -> Column:
     """Whether a text's language is plain enough: the ``accepted`` of :func:`classify`, as a column for filters."""
 
     @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Classifier(model)
-        return pd.Series([judge(t)[3] for t in texts], dtype=bool)
+        for texts in batches:
+            yield pd.Series([judge(t)[3] for t in texts], dtype=bool)
 
     return run(text)
 
