@@ -27,7 +27,8 @@ from halocline.llm import text as X
 BLOCK_BYTES, BATCH_TOKENS = 8 << 20, 1 << 18
 #: Bytes whose pre-tokens one numpy pass finds.
 PASS_BYTES = 512 << 10
-LEAST_BUCKETS, MOST_BUCKETS = 32, 4096
+#: Bytes of text for each bucket of words and each partition of blocks; the number of buckets stays below what a block can have rows for.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, MOST_PARTITIONS = 8 << 20, 8, 1 << 15, 1 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _classes: list[np.ndarray] = []
 
@@ -190,7 +191,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
 
     Null and empty texts have no ids; repeated rows are encoded alike, each for
     itself; null doc_ids stay; an empty table gives no row; other columns are
-    not read. ``docs`` is read twice and must give the same rows in the same
+    not read; a very long text is a block of its own. ``docs`` is read three
+    times (for its size, words and positions) and must give the same rows in the same
     order for each partition (a scan does; write other plans out first): if it
     doesn't, the words of a block no longer match its positions, which is
     noticed and raised.
@@ -199,7 +201,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
     X.small_batches(spark)
     # spark_partition_id() counts the partitions of docs itself, also where a union makes others of a task's
     rows = docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text", "cast(spark_partition_id() as long) part")
-    buckets = min(max(rows.rdd.getNumPartitions(), LEAST_BUCKETS), MOST_BUCKETS)
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    partitions = min(max(-(-size // BUCKET_BYTES), LEAST_BUCKETS), MOST_PARTITIONS)
+    buckets = min(partitions, MOST_BUCKETS)
     vocabulary = spark.sparkContext.broadcast(ranks)
     kinds = spark.sparkContext.broadcast(class_table())
 
@@ -277,7 +281,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", tex
 
     words = rows.mapInArrow(word_rows, ROWS).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(encode_rows, ROWS)
     both = words.union(rows.mapInArrow(position_rows, ROWS))
-    return both.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(put_together, "doc_id long, ids array<int>")
+    return both.repartition(partitions, "block").sortWithinPartitions("block", "bucket").mapInArrow(put_together, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
