@@ -71,12 +71,12 @@ ic AS (SELECT item_id, g, count(*) AS m FROM ig GROUP BY item_id, g),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 ks AS (SELECT DISTINCT k FROM i5),
 dg AS (SELECT doc_id, k, len(w) - k + 1 AS last, unnest(range(1, len(w) - k + 2)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g FROM d, ks WHERE len(w) >= k),
-hit AS (SELECT DISTINCT dg.doc_id, dg.k, dg.last, ig.item_id, ig.n, dg.p FROM dg JOIN ig ON ig.g = dg.g AND ig.k = dg.k WHERE dg.last >= ig.n),
-win AS (SELECT DISTINCT doc_id, k, item_id, n, least(p, last - n + 1) AS s FROM hit),
-c AS (SELECT win.doc_id, win.k, win.item_id, win.n, win.s, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.k = win.k AND dg.p BETWEEN win.s AND win.s + win.n - 1 GROUP BY ALL),
-x AS (SELECT c.doc_id, c.item_id, c.k, c.n, c.s, sum(least(c.c, ic.m)) AS b FROM c JOIN ic ON ic.item_id = c.item_id AND ic.g = c.g GROUP BY ALL),
-y AS (SELECT doc_id, item_id, k, n, s, CAST(b AS DOUBLE) / CAST(2 * n - b AS DOUBLE) AS sim FROM x)
-SELECT doc_id, item_id, sim AS similarity, CAST(s AS INTEGER) AS start_word, CAST(n + k - 1 AS INTEGER) AS n_words
+hit AS (SELECT DISTINCT dg.doc_id, dg.k, dg.last, ig.item_id, ig.n, dg.p FROM dg JOIN ig ON ig.g = dg.g AND ig.k = dg.k),
+win AS (SELECT DISTINCT doc_id, k, item_id, n, least(n, last) AS m, least(p, last - least(n, last) + 1) AS s FROM hit),
+c AS (SELECT win.doc_id, win.k, win.item_id, win.n, win.m, win.s, dg.g, count(*) AS c FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.k = win.k AND dg.p BETWEEN win.s AND win.s + win.m - 1 GROUP BY ALL),
+x AS (SELECT c.doc_id, c.item_id, c.k, c.n, c.m, c.s, sum(least(c.c, ic.m)) AS b FROM c JOIN ic ON ic.item_id = c.item_id AND ic.g = c.g GROUP BY ALL),
+y AS (SELECT doc_id, item_id, k, n, m, s, CAST(b AS DOUBLE) / CAST(n + m - b AS DOUBLE) AS sim FROM x)
+SELECT doc_id, item_id, sim AS similarity, CAST(s AS INTEGER) AS start_word, CAST(m + k - 1 AS INTEGER) AS n_words
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, s) AS r FROM y WHERE sim >= 0.8) WHERE r = 1"""
 
 
