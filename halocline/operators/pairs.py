@@ -8,15 +8,19 @@ sees is an equi-join with the distance as residual condition.
 from __future__ import annotations
 
 import math
-from functools import reduce
+import uuid
+from collections.abc import Iterator
+from functools import partial
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halocline.functions.vectors import distance_squared
 from halocline.operators.points import dimension, squared
-from halocline.session import cut
+from halocline.session import cut, scratch, ship
 
 #: Highest dimension for buckets: 3**d of them surround a point.
 GRID_DIMENSIONS = 3
@@ -24,6 +28,8 @@ GRID_DIMENSIONS = 3
 SLACK = 1 + 1e-9
 #: A centre set, or a block of queries, up to this many rows is broadcast.
 FEW = 10_000
+#: Distances of queries and points that are held at once.
+MATRIX = 1 << 20
 
 
 def cells(df: DataFrame, d: int, side: float, prefix: str = "x", name: str = "c") -> DataFrame:
@@ -68,8 +74,22 @@ def eps_pairs(points: DataFrame, eps: float, d: int | None = None) -> DataFrame:
 
 
 def range_count(points: DataFrame, eps: float, d: int | None = None) -> DataFrame:
-    """(id, n): how many points are within ``eps`` of each, itself included."""
-    return eps_pairs(points, eps, d).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    """(id, n): how many points are within ``eps`` of each, itself included.
+
+    In up to three dimensions, cells that lie wholly within ``eps`` of a point's
+    cell count as a whole; only points of the cells around those are compared.
+    """
+    from halocline.operators.dbscan import Grid
+
+    d = d or dimension(points)
+    if d > GRID_DIMENSIONS:
+        return eps_pairs(points, eps, d).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    grid = Grid(points, eps, d)
+    xs, ys = ([F.col(f"{p}{i}") for i in range(d)] for p in "xy")
+    whole = grid.near.where("inside").groupBy("cell").agg(F.sum("m").alias("n"))
+    rim = grid.placed.drop("n").join(grid.near.where("not inside").select("cell", "other"), "cell").join(grid.other(), "other")
+    met = rim.where(squared(xs, ys) <= F.lit(grid.eps * grid.eps)).groupBy("id").agg(F.count("*").alias("more"))
+    return grid.placed.select("id", "cell").join(whole, "cell").join(met, "id", "left").select("id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
 
 
 def range_query(points: DataFrame, queries: DataFrame, r: float, d: int | None = None) -> DataFrame:
@@ -97,22 +117,48 @@ def nearest(points: DataFrame, centers: DataFrame) -> DataFrame:
 def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, id, d2): the k nearest points of each query; ties by id. k <= 0: none.
 
-    Up to FEW queries are broadcast in one block. More are dealt by the hash of
-    their id into blocks of about half of that, each of which meets all points;
-    ranks are cut inside each partition before the shuffle.
+    Queries go in blocks of at most FEW, one job after the other. A block is
+    broadcast; each task holds the k best so far for each of its queries over all
+    points that it reads, so that k rows a query and task are all that is shuffled.
     """
-    asked = queries.select(F.col("id").alias("query"), F.col("v").alias("w"))
-    blocks = [asked]
-    if asked.limit(FEW + 1).count() > FEW:
-        asked = cut(asked)
-        n = math.ceil(2 * asked.count() / FEW)
-        blocks = [asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i) for i in range(n)]
-
-    def best(block: DataFrame) -> DataFrame:
-        near = points.join(F.broadcast(block)).select("query", "id", distance_squared(F.col("v"), F.col("w")).alias("d2"))
-        return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k).select("query", "rank", "id", "d2")
-
-    return reduce(DataFrame.unionAll, map(best, blocks))
+    spark, schema = points.sparkSession, "query long, id long, d2 double"
+    asked = cut(queries.select(F.col("id").alias("query"), F.col("v").alias("w")))
+    n = max(1, math.ceil(2 * asked.count() / FEW)) if asked.limit(FEW + 1).count() > FEW else 1
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    ship(spark)
+    for i in range(n if k > 0 else 0):
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).collect()
+        if not rows:
+            continue
+        block = spark.sparkContext.broadcast((np.array([r["query"] for r in rows], np.int64), np.array([r["w"] for r in rows], float)))
+        best = points.select("id", "v").mapInArrow(partial(_nearest_of, block=block, k=k), schema)
+        ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("rank") <= k)
+        ranked.select("query", "rank", "id", "d2").write.mode("append").parquet(folder)
+        block.unpersist()
+    spark.createDataFrame([], "query long, rank int, id long, d2 double").write.mode("append").parquet(folder)
+    return spark.read.schema("query long, rank int, id long, d2 double").parquet(folder)
+
+
+def _nearest_of(batches: Iterator[pa.RecordBatch], block, k: int) -> Iterator[pa.RecordBatch]:
+    """The k points of a task nearest to each query of the block; squared distances are summed from the first coordinate on."""
+    names, at = block.value
+    held_id, held_d2 = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+    for batch in batches:
+        for low in range(0, batch.num_rows, part := max(k, MATRIX // len(names))):
+            ids = batch.column(0).slice(low, part).to_numpy()
+            lists = batch.column(1).slice(low, part)
+            lengths = np.diff(lists.offsets.to_numpy())
+            if (lengths != at.shape[1]).any():
+                raise ValueError("vectors differ in length")
+            v = lists.flatten().to_numpy().reshape(len(ids), -1)
+            d2 = np.zeros((len(names), len(ids)))
+            for j in range(at.shape[1]):
+                gap = at[:, j, None] - v[None, :, j]
+                d2 += gap * gap
+            held_id, held_d2 = np.concatenate([held_id, np.broadcast_to(ids, d2.shape)], 1), np.concatenate([held_d2, d2], 1)
+            order = np.lexsort((held_id, held_d2), axis=1)[:, :k]
+            held_id, held_d2 = np.take_along_axis(held_id, order, 1), np.take_along_axis(held_d2, order, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, held_id.shape[1])), pa.array(held_id.ravel()), pa.array(held_d2.ravel())], names=["query", "id", "d2"])
 
 
 def side_distance(v: Column, low: Column, high: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from halocline.functions.vectors import distance_squared
 from halocline.operators.components import union_find
 from halocline.operators.pairs import FEW, nearest
+from halocline.session import cut
 
 CENTERS = T.StructType([T.StructField("cell", T.IntegerType(), False), T.StructField("center", T.ArrayType(T.DoubleType(), False), False)])
 
@@ -115,9 +116,9 @@ def kmeans(points: DataFrame, start: DataFrame, d: int, iterations: int = 20, to
 
 
 def kmeans_centers(points: DataFrame, d: int, n: int, seed: int = 42, iterations: int = 20) -> DataFrame:
-    """Centres fitted on a hash sample of 500 rows a centre."""
-    sample = hash_sample(points, 500 * n, seed)
-    rows = np.array([r[0] for r in sample.select("v").collect()], float)
+    """Centres fitted on a hash sample of 500 rows a centre, from k-means++ seeds of FEW of them at most."""
+    sample = cut(hash_sample(points, 500 * n, seed))
+    rows = _bounded(hash_sample(sample, FEW, seed))
     return kmeans(sample, centers(points.sparkSession, plus_plus(rows, min(n, len(rows)), seed)), d, iterations)
 
 
@@ -153,8 +154,12 @@ def farthest_seeds(points: DataFrame, n: int) -> list[tuple[int, float | None]]:
 
 def contract(centers_: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(cell, center, merged): centres joined along edges shorter than ``threshold`` (transitively) become their mean; cells are renumbered by smallest member."""
-    rows = {r["cell"]: r["center"] for r in centers_.orderBy("cell").limit(FEW).collect()}
-    short = [(u, v) for u, v in edges.select("u", "v").collect() if math.dist(rows[u], rows[v]) < threshold]
+    from halocline.operators.delaunay import collected
+
+    rows = {r["cell"]: r["center"] for r in sorted(collected(centers_, FEW, "centres"), key=lambda r: r["cell"])}
+    at = centers_.select("cell", "center")
+    ends = edges.join(at.toDF("u", "a"), "u").join(at.toDF("v", "b"), "v")
+    short = [(r["u"], r["v"]) for r in collected(ends.where(distance_squared(F.col("a"), F.col("b")) < threshold * threshold).select("u", "v"), FEW * 100, "edges")]
     root = {c: c for c in rows} | union_find(short)
     groups: dict[int, list[int]] = {}
     for c in rows:

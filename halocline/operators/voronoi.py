@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halocline.functions.vectors import distance, distance_squared
+from halocline.functions.vectors import distance, distance_squared, normalize, vec_add, vec_dot, vec_scale, vec_sub
 from halocline.operators.components import connected_components
 from halocline.operators.pairs import listed
 from halocline.session import cut, ship
 
-#: Rows of a distance matrix that are held at once.
-BLOCK = 1024
+#: Rows of a block of distances, and distances that are held at once (a row's own are held whole).
+BLOCK, PAIRS = 1024, 1 << 20
 
 
 def _measured(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -40,17 +40,28 @@ def memberships(points: DataFrame, centers: DataFrame, eps: float) -> DataFrame:
     """cell, id, v, owned: every cell whose region, extended by ``eps``, holds the point. Centres must differ."""
 
     def beyond(i: Column, j: Column) -> Column:
-        apart = distance(F.get("cs", i)["center"], F.get("cs", j)["center"])
-        return (F.get("ds", i) - F.get("ds", j)) / F.when(apart == 0, F.raise_error(F.lit("equal centres"))).otherwise(2 * apart)
-
-    def inside(i: Column) -> Column:
-        return F.forall(F.sequence(F.lit(0), F.size("cs") - 1), lambda j: (i == j) | (beyond(i, j) <= F.lit(float(eps))))
-
-    best = F.array_min(F.transform("cs", lambda c, i: F.struct(F.get("ds", i).alias("d2"), c["cell"].alias("cell"))))
-    held = F.filter(F.sequence(F.lit(0), F.size("cs") - 1), inside)
-    rows = _measured(points, centers).withColumn("_b", best).withColumn("_held", held)
-    opened = rows.select("id", "v", "_b", F.explode(F.transform("_held", lambda i: F.get("cs", i)["cell"])).alias("cell"))
-    return opened.select("cell", "id", "v", (F.col("cell") == F.col("_b.cell")).alias("owned"))
+        apart = distance(i["center"], j["center"])
+        return (i["d2"] - j["d2"]) / F.when(apart == 0, F.raise_error(F.lit("equal centres"))).otherwise(2 * apart)
+
+    # the nearest centre m bounds what can hold the point: from d_i^2 - d_m^2 <= 2 eps g_im <= 2 eps (d_i + d_m) follows d_i - d_m <= 2 eps,
+    # and only centres nearer than i can keep i from holding it
+    reach = F.sqrt(F.array_min("ds")) + F.lit(2.0 * float(eps))
+    rows = _measured(points, centers).withColumn("_reach", reach * reach * (1 + 1e-9))
+    rows = rows.withColumn("_near", F.filter(F.transform("cs", lambda c, i: F.struct(F.get("ds", i).alias("d2"), c["cell"].alias("cell"), c["center"].alias("center"))), lambda c: c["d2"] <= F.col("_reach")))
+    own = F.array_min(F.transform("_near", lambda c: F.struct(c["d2"], c["cell"])))["cell"]
+    held = F.filter("_near", lambda i: F.forall("_near", lambda j: (i["cell"] == j["cell"]) | (beyond(i, j) <= F.lit(float(eps)))))
+    opened = rows.select("id", "v", own.alias("_own"), F.explode(held).alias("c"))
+    return opened.select(F.col("c.cell").alias("cell"), "id", "v", (F.col("c.cell") == F.col("_own")).alias("owned"))
+
+
+def faces(centers: DataFrame, edges: DataFrame, eps: float) -> DataFrame:
+    """(cell, neighbor, normal, offset, extended, shrunk): each cell's half-spaces normal . x <= offset by the centres it borders on, and their offsets moved out and in by ``eps``."""
+    both = edges.select("u", "v").union(edges.select("v", "u")).distinct()
+    own, other = centers.select(F.col("cell").alias("u"), F.col("center").alias("a")), centers.select(F.col("cell").alias("v"), F.col("center").alias("b"))
+    rows = both.join(own, "u").join(other, "v").withColumn("normal", normalize(vec_sub(F.col("b"), F.col("a"))))
+    middle = vec_scale(vec_add(F.col("a"), F.col("b")), 0.5)
+    rows = rows.withColumn("offset", vec_dot(F.col("normal"), middle))
+    return rows.select(F.col("u").alias("cell"), F.col("v").alias("neighbor"), "normal", "offset", (F.col("offset") + float(eps)).alias("extended"), (F.col("offset") - float(eps)).alias("shrunk"))
 
 
 def interior(points: DataFrame, centers: DataFrame, eps: float) -> DataFrame:
@@ -69,23 +80,57 @@ def cell_stats(members: DataFrame) -> DataFrame:
     return members.groupBy("cell").agg(F.count_if("owned").alias("n_owned"), F.count_if(~F.col("owned")).alias("n_margin"))
 
 
-def _near(v: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, whether each point is within eps), the matrix in blocks of rows; distances as exact sums of squares."""
-    for low in range(0, len(v), BLOCK):
-        part = np.zeros((min(BLOCK, len(v) - low), len(v)))
+def _near(v: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of the pairs within eps, both ways and with itself: points in the order of the widest axis, each block against those in its reach along it.
+
+    Squared distances are sums from the first coordinate on; what is held is
+    PAIRS distances at a time.
+    """
+    axis = int(np.argmax(np.ptp(v, axis=0))) if len(v) else 0
+    order = np.argsort(v[:, axis], kind="stable")
+    line, w = v[order, axis], v[order]
+    slack = eps * (1 + 1e-9) + 1e-300
+    left, right = np.searchsorted(line, line - slack), np.searchsorted(line, line + slack, "right")
+    low = 0
+    while low < len(v):
+        high = low + 1
+        while high < min(len(v), low + BLOCK) and (high + 1 - low) * (right[high] - left[low]) <= PAIRS:
+            high += 1
+        a, b = left[low], right[high - 1]
+        d2 = np.zeros((high - low, b - a))
         for k in range(v.shape[1]):
-            gap = v[low : low + BLOCK, k, None] - v[None, :, k]
-            part += gap * gap
-        yield low, part <= eps * eps
+            gap = w[low:high, k, None] - w[None, a:b, k]
+            d2 += gap * gap
+        i, j = np.nonzero(d2 <= eps * eps)
+        yield order[i + low], order[j + a]
+        low = high
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The smallest place of each place's component, for edges (a, b) on top of the components ``root``."""
+    root = np.arange(n) if root is None else root
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate(pdf["v"].to_numpy()).reshape(len(pdf), -1)
 
 
 def core_flags(members: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """(id, is_core) of every point, counted in the cell that owns it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, counts = np.stack(pdf["v"]), np.zeros(len(pdf), np.int64)
-        for low, near in _near(v, eps):
-            counts[low : low + len(near)] = near.sum(1)
+        v, counts = _matrix(pdf), np.zeros(len(pdf), np.int64)
+        for i, _ in _near(v, eps):
+            counts += np.bincount(i, minlength=len(v))
         own = pdf["owned"].to_numpy()
         return pd.DataFrame({"id": pdf["id"][own], "is_core": counts[own] >= min_pts})
 
@@ -98,22 +143,18 @@ def local_clusters(members: DataFrame, flags: DataFrame, eps: float) -> DataFram
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        v, core = np.stack(pdf["v"]), pdf["is_core"].to_numpy()
-        label = np.where(core, np.arange(len(pdf)), len(pdf))
-        while True:
-            new = label.copy()
-            for low, near in _near(v, eps):
-                least = np.where(near & core[None, :], label[None, :], len(pdf)).min(1)
-                new[low : low + len(near)] = np.where(core[low : low + len(near)], np.minimum(least, new[low : low + len(near)]), len(pdf))
-            new[core] = new[new[core]]
-            if (new == label).all():
-                break
-            label = new
-        ids, rows = pdf["id"].to_numpy(), [(i, label[i]) for i in np.flatnonzero(core)]
-        for low, near in _near(v, eps):
-            for i in np.flatnonzero(~core[low : low + len(near)]):
-                rows += [(low + i, x) for x in np.unique(label[near[i] & core])]
-        at, to = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 2
+        v, core = _matrix(pdf), pdf["is_core"].to_numpy()
+        root, borders = np.arange(len(v)), []
+        for i, j in _near(v, eps):
+            inner = core[i] & core[j]
+            root = _roots(len(v), i[inner], j[inner], root)
+            edge = ~core[i] & core[j]
+            borders.append(np.column_stack([i[edge], j[edge]]))
+        border = np.concatenate(borders) if borders else np.zeros((0, 2), np.int64)
+        border = np.unique(np.column_stack([border[:, 0], root[border[:, 1]]]), axis=0)
+        inner = np.flatnonzero(core)
+        at, to = np.concatenate([inner, border[:, 0]]), np.concatenate([root[inner], border[:, 1]])
+        ids = pdf["id"].to_numpy()
         return pd.DataFrame({"cell": pdf["cell"].to_numpy()[at], "id": ids[at], "owned": pdf["owned"].to_numpy()[at], "is_core": core[at], "local_label": ids[to]})
 
     ship(members.sparkSession)
@@ -139,6 +180,13 @@ def cluster_map(local: DataFrame) -> DataFrame:
     return core.select("cell", "local_label").distinct().join(groups, F.col("local_label") == F.col("vertex")).select("cell", "local_label", F.col("component").alias("cluster_id"))
 
 
+def named(flags: DataFrame, local: DataFrame) -> DataFrame:
+    """id, kind, cluster_id of every point, from its flag and its local clusters (of core points all, of others those of the owning cell)."""
+    found = local.join(cluster_map(local), ["cell", "local_label"]).where("owned").groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
+    kind = F.when(F.col("is_core"), "core").when(F.col("cluster_id").isNotNull(), "border").otherwise("noise")
+    return flags.join(found, "id", "left").select("id", kind.alias("kind"), F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
+
+
 def dbscan(points: DataFrame, centers: DataFrame, eps: float, min_pts: int) -> DataFrame:
     """id, kind, cluster_id: the same as operators.dbscan.dbscan(), for any dimension.
 
@@ -147,6 +195,4 @@ def dbscan(points: DataFrame, centers: DataFrame, eps: float, min_pts: int) -> D
     held = cut(memberships(points, centers, eps))
     flags = cut(core_flags(held, eps, min_pts))
     local = cut(local_clusters(held, flags, eps).where("owned or is_core"))
-    named = local.join(cluster_map(local), ["cell", "local_label"]).where("owned").groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
-    kind = F.when(F.col("is_core"), "core").when(F.col("cluster_id").isNotNull(), "border").otherwise("noise")
-    return flags.join(named, "id", "left").select("id", kind.alias("kind"), F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"))
+    return named(flags, local)

@@ -85,7 +85,7 @@ def _kmeans(rounds: int) -> str:
 
 
 def _farthest(n: int) -> str:
-    parts = [f"p AS ({E2} WHERE vec_id < 500)", "s0 AS (SELECT id, x0, x1, CAST(NULL AS DOUBLE) AS gap FROM p ORDER BY id LIMIT 1)"]
+    parts = [f"p AS ({E2})", "s0 AS (SELECT id, x0, x1, CAST(NULL AS DOUBLE) AS gap FROM p ORDER BY id LIMIT 1)"]
     for i in range(1, n):
         chosen = " UNION ALL ".join(f"SELECT x0, x1 FROM s{k}" for k in range(i))
         parts.append(f"g{i} AS (SELECT p.id, p.x0, p.x1, sqrt(min({d2('p', 's')})) AS gap FROM p, ({chosen}) s GROUP BY ALL)")
@@ -94,11 +94,11 @@ def _farthest(n: int) -> str:
 
 
 def _elements() -> str:
-    rows = "SELECT vec_id AS id, CAST(embedding[1:8] AS DOUBLE[]) AS v, list_reverse(CAST(embedding[1:8] AS DOUBLE[])) AS w FROM embeddings"
+    rows = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_reverse(CAST(embedding AS DOUBLE[])) AS w FROM embeddings"
     mean = "(list_sum(v) / len(v))"
     return f"""WITH p AS ({rows}), s AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, list_min(v) AS lo, list_max(v) AS hi, {mean} AS me FROM p),
 t AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: (x - me) * (x - me))) / len(v)) AS sd FROM s),
-o AS (SELECT id, unnest(range(1, 9)) AS i, v, w, n, lo, hi, me, sd FROM t)
+o AS (SELECT id, unnest(range(1, len(v) + 1)) AS i, v, w, n, lo, hi, me, sd FROM t)
 SELECT id, i - 1 AS axis, round(v[i] + w[i], 9) AS added, round(v[i] - w[i], 9) AS less, round(v[i] * w[i], 9) AS product, round(v[i] * CAST(2.5 AS DOUBLE), 9) AS scaled, round(v[i] / 4, 9) AS divided,
   round(v[i] / n, 9) AS unit, round(CASE WHEN hi = lo THEN 0.5 ELSE (v[i] - lo) / (hi - lo) END, 9) AS minmax, round(CASE WHEN sd = 0 THEN 0 ELSE (v[i] - me) / sd END, 9) AS standard FROM o"""
 
@@ -109,7 +109,7 @@ EDGES_CC = f"""WITH RECURSIVE p AS ({E2}), e AS (SELECT a.id AS a, b.id AS b FRO
 cc(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, cc.root FROM cc JOIN e ON e.a = cc.id)
 SELECT id AS vertex, min(root) AS component FROM cc GROUP BY id"""
 CONTRACT = f"""WITH RECURSIVE {PLANE},
-sh AS (SELECT u, v FROM ed JOIN c a ON a.cell = u JOIN c b ON b.cell = v WHERE sqrt({d2('a', 'b')}) < 0.06),
+sh AS (SELECT u, v FROM ed JOIN c a ON a.cell = u JOIN c b ON b.cell = v WHERE sqrt({d2('a', 'b')}) < 0.02),
 sy AS (SELECT u, v FROM sh UNION SELECT v, u FROM sh),
 cc(id, root) AS (SELECT cell, cell FROM c UNION SELECT sy.v, cc.root FROM cc JOIN sy ON sy.u = cc.id),
 g AS (SELECT id, min(root) AS root FROM cc GROUP BY id)
@@ -123,6 +123,36 @@ SELECT round(m, 9) AS mutual_information, round(ha.h, 9) AS entropy_a, round(hb.
 DBSCAN64 = f"WITH RECURSIVE p AS ({WIDE}),\n" + _labels(f"nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {FAR} <= CAST(1.15 AS DOUBLE) * CAST(1.15 AS DOUBLE))", 4)
 ALL = "\nSELECT id, kind, cluster_id FROM r"
 
+TETRA = f"""c AS (SELECT CAST(vec_id AS INTEGER) AS cell, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2 FROM embeddings WHERE vec_id < 40),
+tet AS (SELECT a.cell AS i, b.cell AS j, k.cell AS k, l.cell AS l, a.x0 AS ax, a.x1 AS ay, a.x2 AS az, b.x0 - a.x0 AS b0, b.x1 - a.x1 AS b1, b.x2 - a.x2 AS b2, k.x0 - a.x0 AS c0, k.x1 - a.x1 AS c1, k.x2 - a.x2 AS c2, l.x0 - a.x0 AS d0, l.x1 - a.x1 AS d1, l.x2 - a.x2 AS d2
+  FROM c a JOIN c b ON a.cell < b.cell JOIN c k ON b.cell < k.cell JOIN c l ON k.cell < l.cell),
+det AS (SELECT *, 2 * (b0 * (c1 * d2 - c2 * d1) - b1 * (c0 * d2 - c2 * d0) + b2 * (c0 * d1 - c1 * d0)) AS g, b0 * b0 + b1 * b1 + b2 * b2 AS bb, c0 * c0 + c1 * c1 + c2 * c2 AS cc, d0 * d0 + d1 * d1 + d2 * d2 AS dd FROM tet),
+mid AS (SELECT i, j, k, l, (bb * (c1 * d2 - c2 * d1) - cc * (b1 * d2 - b2 * d1) + dd * (b1 * c2 - b2 * c1)) / g AS u0, (-bb * (c0 * d2 - c2 * d0) + cc * (b0 * d2 - b2 * d0) - dd * (b0 * c2 - b2 * c0)) / g AS u1, (bb * (c0 * d1 - c1 * d0) - cc * (b0 * d1 - b1 * d0) + dd * (b0 * c1 - b1 * c0)) / g AS u2, ax, ay, az FROM det WHERE abs(g) > 1e-12),
+ok AS (SELECT i, j, k, l FROM mid m WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.cell NOT IN (m.i, m.j, m.k, m.l)
+  AND (q.x0 - ax - u0) * (q.x0 - ax - u0) + (q.x1 - ay - u1) * (q.x1 - ay - u1) + (q.x2 - az - u2) * (q.x2 - az - u2) < (u0 * u0 + u1 * u1 + u2 * u2) * (1 - 1e-9)))
+SELECT i AS u, j AS v FROM ok UNION SELECT i, k FROM ok UNION SELECT i, l FROM ok UNION SELECT j, k FROM ok UNION SELECT j, l FROM ok UNION SELECT k, l FROM ok"""
+PLACED = f"""{PLANE}, b AS (SELECT u AS cell FROM ed UNION SELECT v FROM ed), wk AS (SELECT cell, CAST((row_number() OVER (ORDER BY cell) - 1) % 3 AS INTEGER) AS worker FROM b)"""
+TASKS = f"""WITH RECURSIVE {PLACED},
+ordered AS (SELECT u, v, a.worker AS wu, b.worker AS wv, row_number() OVER (ORDER BY a.worker <> b.worker, u, v) AS i FROM ed JOIN wk a ON a.cell = u JOIN wk b ON b.cell = v),
+st(i, u, v, worker, n0, n1, n2) AS (SELECT CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0 UNION ALL
+  SELECT i, u, v, w, n0 + CASE w WHEN 0 THEN 1 ELSE 0 END, n1 + CASE w WHEN 1 THEN 1 ELSE 0 END, n2 + CASE w WHEN 2 THEN 1 ELSE 0 END FROM (
+    SELECT o.i, o.u, o.v, n0, n1, n2, CASE WHEN [n0, n1, n2][wu + 1] < [n0, n1, n2][wv + 1] OR ([n0, n1, n2][wu + 1] = [n0, n1, n2][wv + 1] AND wu <= wv) THEN wu ELSE wv END AS w FROM st JOIN ordered o ON o.i = st.i + 1))
+SELECT u, v, worker FROM st WHERE i > 0"""
+FACES = f"""WITH {PLANE}, b AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed),
+n AS (SELECT u, v, q.x0 - p.x0 AS dx, q.x1 - p.x1 AS dy, (p.x0 + q.x0) / 2 AS mx, (p.x1 + q.x1) / 2 AS my FROM b JOIN c p ON p.cell = u JOIN c q ON q.cell = v),
+o AS (SELECT u, v, dx / sqrt(dx * dx + dy * dy) AS x, dy / sqrt(dx * dx + dy * dy) AS y, (dx * mx + dy * my) / sqrt(dx * dx + dy * dy) AS f FROM n)
+SELECT u AS cell, v AS neighbor, round(x, 9) AS x, round(y, 9) AS y, round(f, 9) AS "offset", round(f + {EPS2}, 9) AS extended, round(f - {EPS2}, 9) AS shrunk FROM o"""
+STAGES = LOCAL + """,
+t AS (SELECT 'partitioning' AS stage, (SELECT count(*) FROM p) AS points, (SELECT count(*) FROM c) AS edges
+UNION ALL SELECT 'extension', (SELECT count(*) FROM m WHERE NOT owned), (SELECT count(*) FROM (SELECT DISTINCT a.cell, b.cell FROM m a JOIN m b ON a.id = b.id AND a.cell < b.cell))
+UNION ALL SELECT 'clustering', (SELECT count(*) FROM core), (SELECT count(*) FROM (SELECT DISTINCT cell, local_label FROM lo))
+UNION ALL SELECT 'merging', (SELECT count(*) FROM (SELECT id FROM lo GROUP BY id HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT DISTINCT a.cell, a.local_label, b.cell, b.local_label FROM lo a JOIN lo b ON a.id = b.id AND a.cell < b.cell))
+UNION ALL SELECT 'labelling', (SELECT count(DISTINCT a) FROM nb WHERE b IN (SELECT id FROM core)), (SELECT count(DISTINCT cluster_id) FROM gl))
+SELECT stage, points, edges FROM t"""
+KEPT = f"WITH p AS ({E2} WHERE vec_id % 7 <> 0 OR vec_id % 21 = 0) SELECT a.id AS id, count(*) AS n FROM p a JOIN p b ON {near('a', 'b', EPS2)} GROUP BY a.id"
+NEIGHBORS = f"""WITH p AS ({E2}), nb AS (SELECT a.id AS a, b.id AS b, {d2('a', 'b')} AS d2 FROM p a JOIN p b ON a.id <> b.id AND {near('a', 'b', EPS2)})
+SELECT p.id, count(nb.b) AS n, count(nb.b) FILTER (nb.d2 <= CAST({EPS2 / 2} AS DOUBLE) * CAST({EPS2 / 2} AS DOUBLE)) AS n_half, (SELECT b FROM nb x WHERE x.a = p.id ORDER BY x.d2, x.b LIMIT 1) AS nearest FROM p LEFT JOIN nb ON nb.a = p.id GROUP BY p.id"""
+
 ORACLES: dict[str, str] = {
     "dbscan_emb2d": DBSCAN2 + ALL,
     "dbscan_emb3d": labels(E3, EPS3, MIN_PTS, 3) + ALL,
@@ -134,16 +164,15 @@ ORACLES: dict[str, str] = {
     "eps_pairs_emb2d": f"WITH p AS ({E2}) SELECT a.id AS a, b.id AS b, round({d2('a', 'b')}, 12) AS d2 FROM p a JOIN p b ON {near('a', 'b', EPS2)}",
     "range_count_part": f"WITH p AS ({PART}) SELECT a.id AS id, count(*) AS n FROM p a JOIN p b ON {near('a', 'b', 1.505)} GROUP BY a.id",
     "range_query_fixed_point": f"WITH p AS ({E2}), q AS (SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS x1 UNION ALL SELECT 1, 0.1, -0.1) SELECT q.id AS query, p.id, round({d2('q', 'p')}, 12) AS d2 FROM q JOIN p ON {near('q', 'p', 0.05)}",
-    "has_neighbor_semi": f"WITH p AS ({E2}) SELECT id FROM p a WHERE id % 2 = 0 AND EXISTS (SELECT 1 FROM p b WHERE b.id % 2 = 1 AND {near('a', 'b', EPS2)})",
+    "has_neighbor_semi": f"WITH p AS ({E2}) SELECT id FROM p a WHERE EXISTS (SELECT 1 FROM p b JOIN embeddings e ON e.vec_id = b.id WHERE e.label = 0 AND {near('a', 'b', EPS2)})",
     "knn_k3": f"WITH p AS ({WIDE}), d AS (SELECT a.id AS query, b.id, {FAR} AS d2 FROM p a, p b WHERE a.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS rank FROM d) SELECT query, rank, id, round(d2, 9) AS d2 FROM r WHERE rank <= 3",
     "grid_cells": f"WITH {GRID} SELECT c0, c1, n FROM g",
     "neighbor_cells": f"WITH {GRID} SELECT a.c0, a.c1, CAST(sum(b.n) AS BIGINT) AS n_around FROM g a JOIN g b ON abs(a.c0 - b.c0) <= 2 AND abs(a.c1 - b.c1) <= 2 GROUP BY a.c0, a.c1",
-    "vector_ops": f"""WITH p AS (SELECT vec_id AS id, CAST(embedding[1:8] AS DOUBLE[]) AS v, list_reverse(CAST(embedding[1:8] AS DOUBLE[])) AS w FROM embeddings),
+    "vector_ops": f"""WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_reverse(CAST(embedding AS DOUBLE[])) AS w FROM embeddings),
 z AS (SELECT *, list_zip(v, w) AS vw FROM p)
 SELECT id, round(list_sum(list_transform(vw, lambda q: q[1] * q[2])), 9) AS dot, round(sqrt(list_sum(list_transform(vw, lambda q: (q[1] - q[2]) * (q[1] - q[2])))), 9) AS distance, round(list_sum(list_transform(vw, lambda q: (q[1] - q[2]) * (q[1] - q[2]))), 9) AS distance_squared,
-  round(sqrt(list_sum(list_transform(v, lambda q: q * q))), 9) AS norm, round(list_sum(list_transform(v, lambda q: q * q)), 9) AS norm_squared, round(list_sum(v), 9) AS total, round(list_sum(v) / 8, 9) AS mean, v = w AS same FROM z""",
+  round(sqrt(list_sum(list_transform(v, lambda q: q * q))), 9) AS norm, round(list_sum(list_transform(v, lambda q: q * q)), 9) AS norm_squared, round(list_sum(v), 9) AS total, round(list_sum(v) / len(v), 9) AS mean, v = w AS same FROM z""",
     "vector_elements": _elements(),
-    "distance_matrix_small": f"WITH p AS ({WIDE}) SELECT a.id AS id, b.id AS other, round(sqrt({FAR}), 9) AS distance FROM p a JOIN p b ON a.id < b.id WHERE b.id < 20",
     "distances_to_first": f"WITH p AS ({WIDE}) SELECT a.id AS query, b.id AS id, round(sqrt({FAR}), 9) AS distance FROM p a, p b WHERE a.id < 20",
     "core_flags_emb2d": f"WITH p AS ({E2}) SELECT a.id AS id, count(*) >= {MIN_PTS} AS is_core FROM p a JOIN p b ON {near('a', 'b', EPS2)} GROUP BY a.id",
     "cluster_sizes": DBSCAN2 + "\nSELECT cluster_id, count(*) FILTER (kind = 'core') AS n_core, count(*) FILTER (kind = 'border') AS n_border FROM r WHERE cluster_id >= 0 GROUP BY cluster_id",
@@ -167,11 +196,21 @@ SELECT id, round(list_sum(list_transform(vw, lambda q: q[1] * q[2])), 9) AS dot,
     "hash_sample": f"WITH p AS ({CUSTOMER}) SELECT id FROM p ORDER BY md5('7:' || id), id LIMIT 50",
     "kmeans_fixed_iters": _kmeans(3),
     "farthest_point_seeds": _farthest(6),
-    "farthest_point_seeds_all": _farthest(6).replace(" WHERE vec_id < 500", ""),
     "contract_close_cells": CONTRACT,
     "delaunay2d_edges": f"WITH {PLANE} SELECT u, v FROM ed",
     "csr_rows": f"WITH {PLANE}, b AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), l AS (SELECT u, count(*) AS n, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS neighbors FROM b GROUP BY u) SELECT u, CAST(sum(n) OVER (ORDER BY u) - n AS BIGINT) AS \"start\", CAST(sum(n) OVER (ORDER BY u) AS BIGINT) AS \"end\", neighbors FROM l",
     "round_robin_placement": f"WITH {PLANE}, b AS (SELECT u AS cell FROM ed UNION SELECT v FROM ed) SELECT cell, CAST((row_number() OVER (ORDER BY cell) - 1) % 3 AS INTEGER) AS worker FROM b",
+    "delaunay3d_edges": f"WITH {TETRA}",
+    "balanced_placement": f"WITH {PLANE}, b AS (SELECT u AS cell FROM ed UNION SELECT v FROM ed) SELECT count(*) AS cells, CAST(3 AS BIGINT) AS workers, true AS balanced, true AS few_cut FROM b",
+    "merge_task_placement": TASKS,
+    "voronoi_faces": FACES,
+    "point_set_maintenance": KEPT,
+    "neighbor_table": NEIGHBORS,
+    "stage_statistics": STAGES,
+    "vector_hashes": "SELECT CAST(2 * count(*) AS BIGINT) AS vectors, CAST(0 AS BIGINT) AS odd FROM embeddings",
+    "line_sample": "SELECT true AS about_as_many, CAST(0 AS BIGINT) AS strange",
+    "random_sampler": "SELECT true AS enough, true AS inside, true AS apart",
+    "kmeans_sampler": "SELECT true AS enough, true AS inside, true AS apart",
     "entropy_labels": "WITH n AS (SELECT count(*) AS n FROM embeddings GROUP BY label), t AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM n) SELECT round(-sum(n / t * ln(n / t)), 9) AS entropy FROM n, t",
     "nmi_clusters": NMI,
     "csv_roundtrip": f"WITH p AS ({PART}) SELECT row_number() OVER (ORDER BY id) - 1 AS id, x0 AS x, x1 AS y FROM p",

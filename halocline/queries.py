@@ -12,15 +12,17 @@ from halocline.functions import metrics
 from halocline.functions import vectors as V
 from halocline.operators import components, delaunay, pairs, sampling, voronoi
 from halocline.operators import dbscan as D
+from halocline.operators.maintenance import NeighborTable, PointSet
 from halocline.operators.points import from_array, points
 from halocline.plans.clustering import statistics
-from halocline.session import cut, shared_dir, table
+from halocline.plans.stages import staged_dbscan
+from halocline.session import cut, scratch, table
 from halocline.sources import csv
 from halocline.streaming.components import StreamingComponents
 
 EPS2, EPS3, MIN_PTS = 0.015, 0.05, 5
 #: Cells of the Voronoi queries, and centres of the adjacency ones.
-N_CELLS, N_PLANE = 8, 24
+N_CELLS, N_PLANE = 8, 128
 
 
 def emb(spark: SparkSession, sf: str, d: int | None) -> DataFrame:
@@ -62,8 +64,9 @@ def range_query_fixed_point(spark, sf):
 
 
 def has_neighbor_semi(spark, sf):
-    every = emb(spark, sf, 2)
-    return pairs.has_neighbor(every.where("id % 2 = 0"), every.where("id % 2 = 1"), EPS2, 2)
+    """Which points have one of the labelled kind 0 in reach."""
+    zero = from_array(table(spark, sf, "embeddings").where("label = 0"), "vec_id", "embedding", 2)
+    return pairs.has_neighbor(emb(spark, sf, 2), zero, EPS2, 2)
 
 
 def knn_k3(spark, sf):
@@ -86,14 +89,14 @@ def neighbor_cells(spark, sf):
 
 def vector_ops(spark, sf):
     """Each reducing vector function of an embedding and its reverse."""
-    rows = emb(spark, sf, 8).withColumn("w", F.reverse("v"))
+    rows = emb(spark, sf, None).withColumn("w", F.reverse("v"))
     a, b = F.col("v"), F.col("w")
     return rows.select("id", _r(V.vec_dot(a, b), "dot"), _r(V.distance(a, b), "distance"), _r(V.distance_squared(a, b), "distance_squared"), _r(V.norm(a), "norm"), _r(V.norm_squared(a), "norm_squared"), _r(V.vec_sum(a), "total"), _r(V.vec_mean(a), "mean"), V.is_same(a, b).alias("same"))
 
 
 def vector_elements(spark, sf):
     """Each element-wise vector function, one row an element."""
-    rows = emb(spark, sf, 8).withColumn("w", F.reverse("v"))
+    rows = emb(spark, sf, None).withColumn("w", F.reverse("v"))
     a, b = F.col("v"), F.col("w")
     made = {"added": V.vec_add(a, b), "less": V.vec_sub(a, b), "product": V.vec_mul(a, b), "scaled": V.vec_scale(a, 2.5), "divided": V.vec_div(a, 4), "unit": V.normalize(a), "minmax": V.min_max_scale(a), "standard": V.standardize(a)}
     wide = rows.select("id", *(v.alias(k) for k, v in made.items()))
@@ -101,12 +104,6 @@ def vector_elements(spark, sf):
     return opened.select("id", F.col("axis").cast("long").alias("axis"), *(_r(f"e.{k}", k) for k in made))
 
 
-def distance_matrix_small(spark, sf):
-    few = emb(spark, sf, None).where("id < 20")
-    other = few.select(F.col("id").alias("other"), F.col("v").alias("w"))
-    return few.join(F.broadcast(other), F.col("id") < F.col("other")).select("id", "other", _r(V.distance(F.col("v"), F.col("w")), "distance"))
-
-
 def distances_to_first(spark, sf):
     """Every row's distance to each of 20 stated query points, which are one broadcast block."""
     every = emb(spark, sf, None)
@@ -177,7 +174,7 @@ def connected_components_stars(spark, sf):
 def streaming_components(spark, sf):
     """Edges in four batches, merged one after the other."""
     edges = cut(pairs.eps_pairs(emb(spark, sf, 2), EPS2, 2).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    table_ = StreamingComponents(spark, f"{shared_dir(spark)}/components-{uuid.uuid4().hex}")
+    table_ = StreamingComponents(spark, f"{scratch(spark)}/components-{uuid.uuid4().hex}")
     for k in range(4):
         table_.merge(edges.where((F.col("u") + F.col("v")) % 4 == k), k)
     return table_.current()
@@ -248,20 +245,44 @@ def kmeans_fixed_iters(spark, sf):
 
 
 def farthest_point_seeds(spark, sf):
-    few = emb(spark, sf, 2).where("id < 500")
-    rows = sampling.farthest_points(few, 6)
-    return spark.createDataFrame([(i, int(r), round(g, 9) if i else None) for i, (r, g) in enumerate(rows)], "step long, id long, gap double")
-
-
-def farthest_point_seeds_all(spark, sf):
-    """The seeds of the whole table; farthest_point_seeds are those of its first 500 ids."""
+    """The seeds of the whole table."""
     rows = sampling.farthest_seeds(emb(spark, sf, 2), 6)
     return spark.createDataFrame([(i, r, g if g is None else round(g, 9)) for i, (r, g) in enumerate(rows)], "step long, id long, gap double")
 
 
+def line_sample(spark, sf):
+    """Rows drawn with replacement: how many there are, and whether all are rows of the table."""
+    every = customer(spark, sf)
+    drawn = sampling.line_sample(every, 500, 3)
+    return drawn.join(every.select("id"), "id", "left_semi").agg((F.count("*").between(300, 700)).alias("about_as_many"), F.count_if(F.col("id").isNull()).alias("strange"))
+
+
+def _sampled(spark, centers, every, n, least):
+    """One row: how many centres, whether they lie in the points' box, and whether they are ``least`` apart."""
+    far = centers.toDF("other", "b")
+    gap = centers.join(far, F.col("cell") < F.col("other")).agg(F.min(V.distance(F.col("center"), F.col("b"))).alias("gap"))
+    d = len(centers.first()["center"])
+    box = {r["axis"]: r for r in sampling.bounding_box(every, d).collect()}
+    inside = F.lit(True)
+    for i in range(d):
+        inside = inside & F.col("center")[i].between(box[i]["low"], box[i]["high"])
+    return centers.agg((F.count("*") >= n).alias("enough"), F.bool_and(inside).alias("inside")).join(F.broadcast(gap)).select("enough", "inside", (F.col("gap") >= least).alias("apart"))
+
+
+def random_sampler(spark, sf):
+    """128 centres of three-dimensional points, at least two radii apart."""
+    every = emb(spark, sf, 3)
+    return _sampled(spark, sampling.random_centers(every, 3, 128, 0.005, 3.0), every, 100, 0.01)
+
+
+def kmeans_sampler(spark, sf):
+    every = emb(spark, sf, 3)
+    return _sampled(spark, sampling.kmeans_centers(every, 3, 16, 42, 3), every, 16, 0.0)
+
+
 def contract_close_cells(spark, sf):
     centers = first_centers(spark, sf, N_PLANE)
-    return sampling.contract(centers, delaunay.edges(centers, 2), 0.06).select(F.col("cell").cast("long").alias("cell"), _r(F.col("center")[0], "x"), _r(F.col("center")[1], "y"), "merged")
+    return sampling.contract(centers, delaunay.edges(centers, 2), 0.02).select(F.col("cell").cast("long").alias("cell"), _r(F.col("center")[0], "x"), _r(F.col("center")[1], "y"), "merged")
 
 
 def delaunay2d_edges(spark, sf):
@@ -278,8 +299,58 @@ def round_robin_placement(spark, sf):
 
 
 def balanced_placement(spark, sf):
-    """Cells per worker of the balanced placement."""
-    return delaunay.place(delaunay2d_edges(spark, sf), 3).groupBy("worker").agg(F.count("*").alias("n"))
+    """Whether the balanced placement has all cells, keeps to its bound, and cuts no more than half the edges that round robin does."""
+    edges = cut(delaunay2d_edges(spark, sf))
+    placed = cut(delaunay.place(edges, 3))
+    cuts = [delaunay.edge_cut(edges, p) for p in (placed, delaunay.place(edges, 3, "round_robin"))]
+    load = placed.groupBy("worker").agg(F.count("*").alias("n"))
+    return load.agg(F.sum("n").alias("cells"), F.count("*").alias("workers"), (F.max("n") <= F.floor((1 + delaunay.IMBALANCE) * F.ceil(F.sum("n") / 3))).alias("balanced")).withColumn("few_cut", F.lit(2 * cuts[0] <= cuts[1]))
+
+
+def merge_task_placement(spark, sf):
+    """Merge tasks of cells that are placed round robin."""
+    edges = delaunay2d_edges(spark, sf)
+    return delaunay.merge_tasks(edges, delaunay.place(edges, 3, "round_robin"))
+
+
+def delaunay3d_edges(spark, sf):
+    return delaunay.edges(first_centers(spark, sf, 40, 3), 3)
+
+
+def voronoi_faces(spark, sf):
+    """Each cell's half-spaces, with the offsets moved out and in."""
+    centers = first_centers(spark, sf, N_PLANE)
+    got = voronoi.faces(centers, delaunay.edges(centers, 2), EPS2)
+    return got.select("cell", "neighbor", _r(F.col("normal")[0], "x"), _r(F.col("normal")[1], "y"), *(_r(c, c) for c in ("offset", "extended", "shrunk")))
+
+
+def point_set_maintenance(spark, sf):
+    """Inserted in two batches, every seventh deleted, every 21st inserted again: how many are in reach of each."""
+    every, points_ = emb(spark, sf, 2), PointSet(spark, f"{scratch(spark)}/points-{uuid.uuid4().hex}")
+    points_.insert(every.where("id % 2 = 0"))
+    points_.insert(every.where("id % 2 = 1"))
+    points_.delete(every.where("id % 7 = 0"))
+    points_.insert(every.where("id % 21 = 0"))
+    return pairs.range_count(points_.compact().current(), EPS2, 2)
+
+
+def neighbor_table(spark, sf):
+    """Neighbours of each point, counted at two radii of one kept table, and the nearest one."""
+    kept = NeighborTable(emb(spark, sf, 2), EPS2, 2)
+    half = kept.count(EPS2 / 2).withColumnRenamed("n", "n_half")
+    return kept.count(EPS2).join(half, "id").join(kept.nearest(EPS2).select("id", F.col("other").alias("nearest")), "id", "left")
+
+
+def stage_statistics(spark, sf):
+    """Points and edges of each stage of the Voronoi plan."""
+    _, stages = staged_dbscan(emb(spark, sf, 2), first_centers(spark, sf), EPS2, MIN_PTS)
+    return spark.createDataFrame([(x.stage, x.points, x.edges) for x in stages], "stage string, points long, edges long")
+
+
+def vector_hashes(spark, sf):
+    """Equal vectors have equal hashes: groups of the hash, of vectors and their copies."""
+    rows = emb(spark, sf, None)
+    return rows.union(rows).groupBy(V.vec_hash(F.col("v")).alias("h")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("vectors"), F.count_if(F.col("n") % 2 == 1).alias("odd"))
 
 
 def entropy_labels(spark, sf):
@@ -293,7 +364,7 @@ def nmi_clusters(spark, sf):
 
 
 def csv_roundtrip(spark, sf):
-    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/points-{uuid.uuid4().hex}"
     csv.write_points(part(spark, sf), path, 2)
     return csv.read_points(spark, path).select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
 
@@ -313,10 +384,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dbscan_emb2d, dbscan_emb3d, dbscan_customer, dbscan_part, dbscan_events, dbscan_emb64, dbscan_voronoi_emb2d,
         eps_pairs_emb2d, range_count_part, range_query_fixed_point, has_neighbor_semi, knn_k3, grid_cells, neighbor_cells,
-        vector_ops, vector_elements, distance_matrix_small, distances_to_first, core_flags_emb2d, cluster_sizes, noise_points, cluster_members, run_statistics,
+        vector_ops, vector_elements, vector_hashes, distances_to_first, core_flags_emb2d, cluster_sizes, noise_points, cluster_members, run_statistics,
         connected_components_edges, connected_components_stars, streaming_components,
         voronoi_assign, margin_replicas, interior_points, shared_border, cell_stats, local_clusters, pairwise_merges, cluster_map,
-        bounding_box, lattice_centers, lattice_edges, hash_sample, kmeans_fixed_iters, farthest_point_seeds, farthest_point_seeds_all, contract_close_cells,
-        delaunay2d_edges, csr_rows, round_robin_placement, balanced_placement, entropy_labels, nmi_clusters, csv_roundtrip, fixed_width_labels, sorted_points,
+        bounding_box, lattice_centers, lattice_edges, hash_sample, kmeans_fixed_iters, farthest_point_seeds, contract_close_cells, line_sample, random_sampler, kmeans_sampler,
+        delaunay2d_edges, delaunay3d_edges, csr_rows, round_robin_placement, balanced_placement, merge_task_placement, voronoi_faces,
+        point_set_maintenance, neighbor_table, stage_statistics, entropy_labels, nmi_clusters, csv_roundtrip, fixed_width_labels, sorted_points,
     )
 }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from halocline.session import cut
 
 
 def numbered(df: DataFrame, name: str = "id") -> DataFrame:
-    """``df`` with the row's number in file order: partition counts first, then offsets, so only one small job looks at sizes."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """``df`` with the row's number in the order of its partitions and rows: places inside partitions first, then the partitions' offsets, a row each."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = cut(df.withColumns({"_part": F.spark_partition_id(), "_place": place}))  # written out: both passes see the same partitions
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_place")).alias(name))
 
 
 def read_points(spark: SparkSession, path: str, header: bool = True, ids: str | None = None, quote: str | None = None, escape: str | None = None) -> DataFrame:

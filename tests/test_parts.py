@@ -105,6 +105,96 @@ def test_adjacency(spark):
     assert {tuple(r) for r in line.collect()} == {(1, 2), (0, 2)}
 
 
+@pytest.mark.parametrize("d,n", [(2, 20), (3, 12), (4, 10), (5, 9)])
+def test_edges_are_those_of_empty_spheres(d, n):
+    from itertools import combinations
+
+    import numpy as np
+
+    def every_simplex(at):
+        found = set()
+        for s in combinations(range(len(at)), d + 1):
+            p = at[list(s)]
+            a, b = 2 * (p[1:] - p[0]), (p[1:] ** 2).sum(1) - (p[0] ** 2).sum()
+            if abs(np.linalg.det(a)) > 1e-12:
+                c = np.linalg.solve(a, b)
+                if not (((at - c) ** 2).sum(1) < ((p[0] - c) ** 2).sum() * (1 - 1e-9)).any():
+                    found |= set(combinations(s, 2))
+        return found
+
+    lattice = np.array([[i >> k & 1 for k in range(d)] for i in sorted(range(2**d), key=int.bit_count)], float)[: n + 2]
+    for at in (np.random.default_rng(d).normal(size=(n, d)), lattice):
+        assert delaunay._empty_spheres(at) == every_simplex(at)
+
+
+def test_no_set_of_centres_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(delaunay, "FEW", 5)
+    six = sampling.centers(spark, [(float(i), float(i * i)) for i in range(6)])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "u int, v int")
+    for call in (lambda: delaunay.edges(six, 2), lambda: delaunay.place(chain, 2)):
+        with pytest.raises(ValueError, match="more than 5"):
+            call()
+
+
+def test_placement_keeps_joined_cells_together(spark):
+    """Two cliques with one edge between them: one is cut."""
+    pairs_ = [(a, b) for k in (0, 6) for a in range(k, k + 6) for b in range(k, a)] + [(0, 6)]
+    edges = spark.createDataFrame(pairs_, "u int, v int")
+    placed = delaunay.place(edges, 2)
+    assert sorted(r["count"] for r in placed.groupBy("worker").count().collect()) == [6, 6] and delaunay.edge_cut(edges, placed) == 1
+
+
+def test_random_centres_in_three_dimensions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.uniform(0, 10, (3000, 3)))], POINTS)
+    assert sampling.random_centers(p, 3, 128, 0.05, 2.0).count() == 128
+
+
+def test_point_set(spark, tmp_path):
+    from halocline.operators.maintenance import NeighborTable, PointSet
+
+    points = PointSet(spark, f"file://{tmp_path}/p")
+    of = lambda rows: spark.createDataFrame(rows, POINTS)
+    assert points.current().collect() == []
+    points.insert(of([(1, [0.0]), (2, [1.0]), (3, [1.0])]))
+    points.delete(of([(2, [1.0]), (9, [0.0])]).select("id"))
+    points.insert(of([(1, [5.0]), (4, [1.0]), (4, [0.5])]))
+    assert {r["id"]: r["v"] for r in points.current().collect()} == {1: [5.0], 3: [1.0], 4: [0.5]}
+    assert {r["id"] for r in points.compact().current().collect()} == {1, 3, 4}
+    kept = NeighborTable(of([(1, [0.0]), (2, [1.0]), (3, [1.5])]), 2.0)
+    assert {r["id"]: r["n"] for r in kept.count(1.0).collect()} == {1: 1, 2: 2, 3: 1}
+    with pytest.raises(ValueError, match="reaches"):
+        kept.within(2.5)
+
+
+def test_stages(spark, tmp_path):
+    from halocline.plans.stages import staged_dbscan, write_stages
+
+    p = spark.createDataFrame([(i, [0.1 * i, 0.0]) for i in range(20)] + [(99, [9.0, 9.0])], POINTS)
+    labels, stages = staged_dbscan(p, sampling.centers(spark, [(0.0, 0.0), (2.0, 0.0)]), 0.15, 3)
+    assert labels.where("cluster_id = 1").count() == 20 and [s.stage for s in stages] == ["partitioning", "extension", "clustering", "merging", "labelling"]
+    paths = write_stages(str(tmp_path), stages)
+    assert paths[0].read_text().splitlines()[0] == "stage,points,edges,ms" and paths[0].read_text().splitlines()[1].startswith("partitioning,21,2,")
+
+
+def test_no_quadratic_rows_where_points_crowd(spark):
+    """Half of all points in one spot: what meets point by point stays in proportion."""
+    import numpy as np
+
+    from halocline.operators.dbscan import Grid, _neighbours, dbscan
+
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(0, 0.001, (1500, 2)), rng.uniform(-3, 3, (1500, 2))])
+    p = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], POINTS).repartition(4)
+    grid = Grid(p, 0.2, 2)
+    assert _neighbours(grid, 5).count() <= 25 * 5 * len(v)
+    assert dbscan(p, 0.2, 5, 2).where("kind = 'core' and cluster_id = 0").count() >= 1500
+    counts = {r["id"]: r["n"] for r in pairs.range_count(p, 0.2, 2).collect()}
+    assert all(counts[i] == int((((v - v[i]) ** 2).sum(1) <= 0.2 * 0.2).sum()) for i in range(0, 3000, 97))
+
+
 def test_sampling(spark):
     assert sampling.lattice_counts([1.0, 1.0], 9) == [3, 3]
     with pytest.raises(ValueError, match="volume"):
@@ -118,7 +208,7 @@ def test_sampling(spark):
     assert sampling.line_sample(p, 20, 1).count() > 5
 
 
-@pytest.mark.parametrize("name", ["farthest_point_seeds_all", "distances_to_first"])
+@pytest.mark.parametrize("name", ["farthest_point_seeds", "distances_to_first"])
 def test_no_row_is_left_out(spark, name, tmp_path):
     """On 1,000 rows, of which the later 500 lie farther out."""
     rows = [(i, [float((i * 37) % 101) * (1 + (i >= 500)), float((i * 53) % 97) * (1 + (i >= 500))]) for i in range(1000)]
