@@ -156,6 +156,49 @@ def test_links_come_from_the_covering_buckets(spark, monkeypatch):
     assert simhash.links(fps).collect() == []
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs and strings: each value's XXH64 with the last one's as its seed; nulls are passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_feistel(number, n, seed):
+    """The permutation in whole numbers, one at a time."""
+    m64 = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    keys = [mix((r * 0x9E3779B97F4A7C15 + seed) & m64) for r in range(1, 7)]
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for key in keys:
+            left, right = right, left ^ mix((right + key) & m64) & (1 << half) - 1
+        number = left << half | right
+        if number < n:
+            return number
+
+
+def test_shards_and_slots_are_the_permutation(spark):
+    rows = [(i % 300, prose(i % 5, i % 40)) for i in range(400)] + [(None, None), (5, "")]
+    whole = [(i, crc(t), len((t or "").encode()) + 8) for i, t in rows]
+    order = sorted(whole, key=lambda x: (spark_hash(*x) % sharding.BUCKETS, x[0] is not None, x))
+    expected = Counter()
+    for number, (i, c, size) in enumerate(order):
+        at = brute_feistel(number, len(order), 17)
+        expected[i, size, c, at % 24, at // 24] += 1
+    got = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(documents(spark, rows), 24).collect())
+    assert got == expected
+
+
 def test_sharding(spark):
     rows = [(i % 900, prose(i % 7, i)) for i in range(1000)] + [(None, None)]
     got = sharding.shard(documents(spark, rows), 24).collect()
@@ -214,6 +257,52 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.classify(documents(spark), {}).collect()} == {"und"}
 
 
+def brute_model(rows):
+    """The dictionaries from (doc_id, lang, text) rows, by the rule that train() states."""
+    slots = {}
+    for i, lang, text in rows:
+        if lang is not None and lang != "und" and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            key, h = (lang, spark_hash(i, "slot") % 96), spark_hash(i, "sample")
+            slots.setdefault(key, []).append((h, text))
+    out = {}
+    for (lang, slot), found in sorted(slots.items()):
+        least = min(h for h, _ in found)
+        cuts = []
+        for h, text in found:
+            if h == least:
+                at = h % max(len(text) - 1200 + 1, 1)
+                cuts.append(text[at : at + 1200])
+        out.setdefault(lang, []).append(max(cuts, key=str.encode).lower().encode())
+    return {k: b"\n".join(v)[: 96 << 10] for k, v in out.items()}
+
+
+def brute_language(model, text):
+    """(language, score, accepted) from zstandard itself."""
+    import regex
+    import zstandard
+
+    if text is None or not regex.search(r"\p{L}", text):
+        return "und", 0.0, False
+    raw, sizes = text.lower().encode(), {}
+    for name, content in model.items():
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=9)
+        coder = zstandard.ZstdCompressor(level=9, dict_data=own, write_content_size=False, write_dict_id=False)
+        sizes[name] = sum(len(coder.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096))
+    (best, name), (second, _) = sorted((n, k) for k, n in sizes.items())[:2]
+    return name, 1 / sum(2.0 ** (best - n) for n in sizes.values()), (second - best) / second >= 0.004
+
+
+def test_language_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["lang"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    model = brute_model(docs)
+    got = {r["doc_id"]: r for r in QUERIES["op2_language_id"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, _, text in docs:
+        name, score, accepted = brute_language(model, text)
+        assert (got[i]["lang_pred"], got[i]["accepted"]) == (name, accepted) and abs(got[i]["score"] - score) < 1e-9
+
+
 def test_language_never_learns_from_held_out_rows(spark):
     docs = spark.createDataFrame([(i, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else "aa", f"text {i}") for i in range(60)], "doc_id long, lang string, text string")
     assert set(language.train(docs.where(~language.held_out(docs["doc_id"])))) == {"aa"}
@@ -468,3 +557,45 @@ def test_quality(spark):
         assert got[i]["base_failed"] == (len(words) < 20 or 100 * sum(gone) > 30 * len(words))
         assert not (got[i]["kept"] and got[i]["base_failed"])
     assert got[7]["kept"] and not got[20]["kept"]
+
+
+def long_text():
+    """Some megabytes of words, a passage that is there twice, and a secret at the end."""
+    r = np.random.default_rng(3)
+    body = " ".join(f"{a}{b}" for a, b in zip(r.integers(0, 90_000, 400_000), r.choice(["a", "be", "ç"], 400_000)))
+    return PASSAGE + " " + body + "\n" + PASSAGE + " token=abcdefghijklmnop"
+
+
+@pytest.mark.parametrize("name", [*NAMES, "warc"])
+def test_a_text_of_several_megabytes(spark, name, tmp_path):
+    text = long_text()
+    assert len(text.encode()) > 2_500_000
+    rows = [(1, text), (2, "short " + PASSAGE), (3, None)]
+    if name == "warc":
+        pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string")
+        got = {r["record_id"]: bytes(r["payload"]) for r in warc.read(warc.write(pages, f"file://{tmp_path}/w"), 100_000).collect()}
+        assert got == {f"urn:page:{i}": (t or "").encode() for i, t in rows}
+        return
+    if name == "substrings":
+        got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup(documents(spark, rows)).collect()}
+        assert got == {1: 120, 2: 60, 3: 0}
+        return
+    got = {r["doc_id"]: r for r in run(name, documents(spark, rows), spark).collect()}
+    if name == "bpe":
+        assert list(got[1]["ids"]) == CODER.encode_ordinary(text) and bytes(got[1]["bytes"]) == text.encode()
+    elif name == "secrets":
+        assert [(s["kind"], s["start"], s["end"]) for s in got[1]["spans"]] == brute_secrets(text)
+    elif name == "quality":
+        assert got[1]["n_words"] == len(WORD.findall(text)) and got[1]["n_repeat_words"] == 120
+    elif name == "suffixes":
+        assert got[1]["n_removed"] >= 2 * len(PASSAGE.encode()) and got[1]["n_removed"] < 0.01 * got[1]["n_bytes"]
+    elif name == "decontaminate":
+        assert (got[1]["similarity"], got[1]["start_word"]) == (1.0, 1) and got[2]["start_word"] == 2
+    elif name == "sharding":
+        assert got[1]["size"] == len(text.encode()) + 8 and got[1]["text_crc32"] == crc(text)
+    elif name == "simhash":
+        w = WORD.findall(text)
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(len(w) - 2)]
+        assert int(got[1]["fingerprint"], 16) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    else:
+        assert got[1]["lang_pred"] in ("a", "b") and got[3]["lang_pred"] == "und"
