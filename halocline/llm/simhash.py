@@ -75,8 +75,8 @@ def block_fingerprints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -
     return np.packbits(2 * bits > total[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t, fp) of every row: t is a hash of the text; A-Z lower-cased, 3-word shingles, XXH64 with seed 42, majority of bits.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc_id, t, fp) of every row: t is a hash of the text; A-Z lower-cased, shingles of ``size`` words, XXH64 with seed 42, majority of bits.
 
     Null, empty and blank texts have 0; fewer words than a shingle are one;
     repeated rows get a row each; null ids stay; an empty table gives no row;
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in X.blocks(batches, most=1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block_fingerprints(data, off).view(np.int64))], names=["doc_id", "t", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block_fingerprints(data, off, size).view(np.int64))], names=["doc_id", "t", "fp"])
 
     X.small_batches(docs.sparkSession)
     return keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, t long, fp long")
@@ -120,7 +120,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> Data
         rows = large.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, t, root, fingerprint (16 hex digits), component_id of every row.
 
     Null, empty and blank texts have fingerprint 0 and link like any other;
@@ -131,22 +131,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     so copies add no links. t (a hash of the text) tells apart rows with the
     same id, root (the least fingerprint) the components.
     """
-    prints = cut(fingerprints(docs, doc_id, text))
+    prints = cut(fingerprints(docs, doc_id, text, size))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
-    star = star_edges(links(distinct.select("fp")))
+    star = star_edges(links(distinct.select("fp"), radius))
     rooted = distinct.join(star, distinct["fp"] == star["hi"], "left").select("fp", "low_id", F.coalesce("lo", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
     named = rooted.join(component, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp").select("doc_id", "t", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: the smallest id's (then the least text hash's; null ids come last).
 
+    A wider radius costs 2**(radius+1)-1 tables, and as many again for each time
+    that a large bucket has to be covered anew, so it is kept at two bits here.
+
     Of rows with the same id and text one stays; all texts without a word are
     one component; all columns stay as they are; empty in, empty out.
     """
-    near = near_duplicates(docs, doc_id, text)
+    near = near_duplicates(docs, doc_id, text, size, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("t").alias("t")))
     stay = near.groupBy("root").agg(first.alias("one")).select("one.doc_id", "one.t")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))

@@ -130,22 +130,24 @@ def test_simhash(spark):
     assert kept == {root(i) for i in rows}
 
 
-def test_covering_masks_meet_within_the_radius():
+@pytest.mark.parametrize("radius,kept", [(2, 0), (3, 0), (2, 0xF0F0F0F0F0F0F0F0)])
+def test_covering_masks_meet_within_the_radius(radius, kept):
     from itertools import combinations
 
-    masks = simhash.masks(2)
-    assert all(any(not m >> i & 1 and not m >> j & 1 for m in masks) for i, j in combinations(range(64), 2))
+    masks, free = simhash.masks(radius, kept), [i for i in range(64) if not kept >> i & 1]
+    assert all(any(all(not m >> i & 1 for i in at) for m in masks) for at in combinations(free, radius))
+    assert all(m & kept == kept for m in masks)
 
 
-@pytest.mark.parametrize("most", [2, 64])
-def test_links_have_the_components_of_all_pairs(spark, most):
+@pytest.mark.parametrize("most,radius", [(2, 2), (64, 2)])
+def test_links_have_the_components_of_all_pairs(spark, most, radius):
     r = np.random.default_rng(4)
     base = [int(x) for x in r.integers(0, 2**62, 20)]
     fps = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for b in base for i, j, k in r.integers(0, 60, (12, 3))} | set(base))
     from halocline.operators.components import union_find
 
-    got = union_find([(f, f) for f in fps] + [tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), most=most).collect()])
-    assert got == union_find([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 2])
+    got = union_find([(f, f) for f in fps] + [tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, most).collect()])
+    assert got == union_find([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= radius])
 
 
 def test_links_come_from_the_covering_buckets(spark, monkeypatch):
