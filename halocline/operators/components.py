@@ -54,12 +54,15 @@ def union_find(edges: list[tuple]) -> dict:
     return {x: root(x) for x in list(parent)}
 
 
-def connected_components(edges: DataFrame, left: str = "u", right: str = "v", few: int = FEW_EDGES) -> DataFrame:
-    """(vertex, component) of every vertex that an edge names; the component is its smallest vertex. A self-loop makes a singleton; edges with a null end count for nothing."""
+def connected_components(edges: DataFrame, left: str = "u", right: str = "v", few: int = FEW_EDGES, kept: bool = False) -> DataFrame:
+    """(vertex, component) of every vertex that an edge names; the component is its smallest vertex. A self-loop makes a singleton; edges with a null end count for nothing.
+
+    ``kept`` says that the edges are materialised and distinct already.
+    """
     both = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right)
     kind = both.schema[left].dataType
     if few:
-        both = cut(both.distinct())
+        both = both if kept else cut(both.distinct())
         rows = both.limit(few + 1).collect()
         if len(rows) <= few:
             schema = T.StructType([T.StructField("vertex", kind), T.StructField("component", kind)])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from halocline.operators.components import connected_components
 from halocline.operators.pairs import GRID_DIMENSIONS, cells, side_distance, surrounded
 from halocline.operators.points import dimension, squared, validated, wide
-from halocline.session import cut
+from halocline.session import cut, saved
 
 CORE, BORDER, NOISE = "core", "border", "noise"
 #: Cells are so much smaller than they might be that rounding can't put two points of one beyond eps.
@@ -88,14 +88,14 @@ class Grid:
         self.eps, self.d = float(eps), d
         keys, box = _columns("c", d), [f"{k}{i}" for i in range(d) for k in ("low", "high")]
         raw = celled(points, self.eps, d)
-        self.cells = cut(raw.groupBy(*keys).agg(F.min("id").alias("cell"), F.count("*").alias("n"), *_box(d)))
-        self.placed = cut(raw.join(self.cells.select(*keys, "cell", "n"), keys).select("id", *_columns("x", d), "cell", "n"))
+        self.cells = saved(raw.groupBy(*keys).agg(F.min("id").alias("cell"), F.count("*").alias("n"), *_box(d)))
+        self.placed = saved(raw.join(self.cells.select(*keys, "cell", "n"), keys).select("id", *_columns("x", d), "cell", "n"))
         other = self.cells.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("cell").alias("other"), F.col("n").alias("m"), *(F.col(b).alias(f"_{b}") for b in box))
         met = _gap(d) <= F.lit(self.eps * self.eps)
         for k in keys:
             met = met & (F.col(k) == F.col(f"_{k}"))
         inside = (_span(d) <= F.lit(self.eps * self.eps)) | (F.col("cell") == F.col("other"))
-        self.near = cut(surrounded(self.cells, d, REACH).join(other, met).select("cell", "other", "n", "m", inside.alias("inside")))
+        self.near = saved(surrounded(self.cells, d, REACH).join(other, met).select("cell", "other", "n", "m", inside.alias("inside")))
 
     def other(self, rows: DataFrame | None = None) -> DataFrame:
         """Points as the far side of a join: oid, y*, other."""
@@ -108,7 +108,7 @@ def _neighbours(grid: Grid, min_pts: int) -> DataFrame:
     xs = _columns("x", grid.d)
     few = grid.placed.where(F.col("n") < min_pts).select("id", *xs, "cell")
     reach = grid.near.where(F.col("n") < min_pts).select("cell", "other", (F.col("m") >= min_pts).alias("dense"))
-    return cut(few.join(reach, "cell").join(grid.other(), "other").where(_within(grid.eps, grid.d)).select("id", "cell", "oid", "other", "dense"))
+    return saved(few.join(reach, "cell").join(grid.other(), "other").where(_within(grid.eps, grid.d)).select("id", "cell", "oid", "other", "dense"))
 
 
 def _flagged(grid: Grid, pairs: DataFrame, min_pts: int) -> DataFrame:
@@ -165,10 +165,10 @@ def _clusters(grid: Grid, pairs: DataFrame, flagged: DataFrame, min_pts: int) ->
     outer = [f(F.struct(*xs), x) for x in xs for f in (F.min_by, F.max_by)]
     tips = grid.placed.where(F.col("n") >= min_pts).groupBy("cell").agg(F.array_distinct(F.array(*outer)).alias("p")).select("cell", F.explode("p").alias("p")).select(F.lit(0).alias("id"), "cell", *(F.col(f"p.{x}").alias(x) for x in xs))
     touched = maybe.join(tips, "cell").join(grid.other(tips), "other").where(_within(grid.eps, d)).select("cell", "other")
-    edges = cut(linked.union(sure).union(touched).distinct())
-    joined = cut(connected_components(edges))
+    edges = saved(linked.union(sure).union(touched).distinct())
+    joined = connected_components(edges, kept=True)
     one, two = joined.select(F.col("vertex").alias("cell"), F.col("component").alias("a")), joined.select(F.col("vertex").alias("other"), F.col("component").alias("b"))
-    apart = cut(maybe.join(one, "cell", "left").join(two, "other", "left").where(F.coalesce("a", "cell") != F.coalesce("b", "other")).select("cell", "other"))
+    apart = saved(maybe.join(one, "cell", "left").join(two, "other", "left").where(F.coalesce("a", "cell") != F.coalesce("b", "other")).select("cell", "other"))
     if not apart.isEmpty():
         joined = connected_components(edges.union(_between_parts(grid, apart)))
     least = core.groupBy("cell").agg(F.min("id").alias("least"))
@@ -183,8 +183,8 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, d: int | None = None) ->
         raise ValueError(f"{d} dimensions: use halocline.operators.voronoi.dbscan")
     grid = Grid(points, eps, d)
     pairs = _neighbours(grid, min_pts)
-    flagged = cut(_flagged(grid, pairs, min_pts).select("id", "cell", "is_core"))
-    clusters = cut(_clusters(grid, pairs, flagged, min_pts))
+    flagged = saved(_flagged(grid, pairs, min_pts).select("id", "cell", "is_core"))
+    clusters = saved(_clusters(grid, pairs, flagged, min_pts))
     core = flagged.where("is_core").select("id", "cell").join(clusters, "cell").select("id", "cluster_id")
     others = flagged.where("not is_core").select("id")
     reached = pairs.join(others, "id").join(core.withColumnRenamed("id", "oid"), "oid").groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
