@@ -23,8 +23,9 @@ a gram or a kind are ordinary equi-joins, so that a very common one can be split
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ KIND = ["gram", "a", "b"]
 #: Bytes of a shard, and kinds that one group of a shard may have.
 SHARD_BYTES, MOST_KINDS = 1 << 20, 4096
 PIECE = "ka long, kb long, gram long, a long, b long, c long, low int, high int, x int, y int, segment binary"
-RUN = "gram long, a long, b long, off int, m int"
+RUN = "a long, b long, off int, m int"
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,11 @@ def gram_rows(rows: DataFrame, unit: Unit) -> DataFrame:
     return rows.mapInArrow(run, "gram long")
 
 
+def kind_of(segments: Iterable[bytes]) -> np.ndarray:
+    """128 bits of each segment's bytes, in two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, segments)), "<i8").reshape(-1, 2)
+
+
 def seed_rows(rows: DataFrame, unit: Unit) -> DataFrame:
     """Every seed: its gram, its kind (a, b: 128 bits of the segment's bytes), its row, first window, number of windows and the anchor's place."""
 
@@ -136,8 +142,7 @@ def seed_rows(rows: DataFrame, unit: Unit) -> DataFrame:
             high = low + n - 1 + unit.window
             if unit.words and len(low):
                 low, high = begin[low], end[high - 1]
-            digest = xxhash.xxh3_128_digest
-            kind = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip(low.tolist(), high.tolist())]), "<i8").reshape(-1, 2)
+            kind = kind_of(raw[i:j] for i, j in zip(low.tolist(), high.tolist()))
             to = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(gram.view(np.int64)), pa.array(kind[:, 0]), pa.array(kind[:, 1]), batch.column(0).take(to), batch.column(1).take(to), *(pa.array(x.astype(np.int32)) for x in (first, n, at))],
@@ -166,13 +171,13 @@ def with_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 def piece_rows(rows: DataFrame, kinds: DataFrame, unit: Unit) -> DataFrame:
     """A piece for each kind (also c, and the doc_id, t, first, n, at of one seed): the segment's bytes, its windows low to high, and its anchor x to y in units."""
-    lists = kinds.groupBy("doc_id", "t").agg(F.collect_list(F.struct(*KIND, "c", "first", "n", "at")).alias("s"))
-    texts = with_lists(met(rows, kinds)[0].dropDuplicates(["doc_id", "t"]), lists, "inner").select("text", *(f"s.{x}" for x in (*KIND, "c", "first", "n", "at")))
+    lists = kinds.groupBy("doc_id", "t").agg(F.collect_list(F.struct("gram", "c", "first", "n", "at")).alias("s"))
+    texts = with_lists(met(rows, kinds)[0].dropDuplicates(["doc_id", "t"]), lists, "inner").select("text", *(f"s.{x}" for x in ("gram", "c", "first", "n", "at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in X.blocks(batches, most=PASS_BYTES):
             owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
-            gram, a, b, c, first, n, at = (batch.column(i).flatten() for i in range(1, 8))
+            gram, c, first, n, at = (batch.column(i).flatten() for i in range(1, 6))
             n_, at_ = n.to_numpy(), at.to_numpy()
             if unit.words:
                 starts, ends, doc = X.words(data, off)
@@ -184,10 +189,11 @@ def piece_rows(rows: DataFrame, kinds: DataFrame, unit: Unit) -> DataFrame:
             high = low + n_ - 1 + unit.window
             if unit.words:
                 low, high = begin[low], end[high - 1]
-            parts = pa.array([raw[i:j] for i, j in zip(low.tolist(), high.tolist())], pa.binary())
+            parts = [raw[i:j] for i, j in zip(low.tolist(), high.tolist())]
+            a, b = (pa.array(x) for x in kind_of(parts).T)
             zero = pa.array(np.zeros(len(n_), np.int64))
             yield pa.RecordBatch.from_arrays(
-                [gram, zero, gram, a, b, c, zero.cast(pa.int32()), pa.array((n_ - 1).astype(np.int32)), at, pa.array((at_ + unit.gram).astype(np.int32)), parts],
+                [gram, zero, gram, a, b, c, zero.cast(pa.int32()), pa.array((n_ - 1).astype(np.int32)), at, pa.array((at_ + unit.gram).astype(np.int32)), pa.array(parts, pa.binary())],
                 names=["ka", "kb", *KIND, "c", "low", "high", "x", "y", "segment"],
             )
 
@@ -208,7 +214,7 @@ def grown(pieces: DataFrame, unit: Unit) -> DataFrame:
                 left = (r["low"], min(r["high"], r["y"] + half - unit.window - 1), r["x"] - (extra - half + 1), r["y"])
                 for low, high, x, y in (right, left):
                     if low <= high:
-                        key = np.frombuffer(xxhash.xxh3_128_digest(join(units[x:y])), "<i8")
+                        key = kind_of([join(units[x:y])])[0]
                         out.append(r | {"ka": int(key[0]), "kb": int(key[1]), "low": low, "high": high, "x": x, "y": y})
             yield pa.RecordBatch.from_pylist(out, batch.schema)
 
@@ -216,24 +222,22 @@ def grown(pieces: DataFrame, unit: Unit) -> DataFrame:
 
 
 def split_hot(pieces: DataFrame, unit: Unit, most: int = MOST_KINDS) -> DataFrame:
-    """The pieces in groups (ka, kb) of ``most`` at most, or whose anchors fill the window."""
+    """Pieces of too large groups (ka, kb), in groups of ``most`` at most or whose anchors fill the window."""
     done, rest = [], pieces
-    for _ in range(unit.window.bit_length()):
+    while True:
+        rest = saved(grown(rest, unit))
         hot = cut(rest.where(F.col("y") - F.col("x") < unit.window).groupBy("ka", "kb").agg(F.count("*").alias("n")).where(F.col("n") > most).select("ka", "kb"))
         if hot.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, done, rest)
         done.append(rest.join(hot, ["ka", "kb"], "left_anti"))
-        rest = saved(grown(rest.join(hot, ["ka", "kb"]).select(*pieces.columns), unit))
-    for part in done:
-        rest = rest.unionByName(part)
-    return rest
+        rest = rest.join(hot, ["ka", "kb"]).select(*pieces.columns)
 
 
 Search = Callable[..., np.ndarray]
 
 
 def shard_rows(pieces: DataFrame, unit: Unit, search: Search, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(gram, a, b, off, m): runs of repeated windows of each kind, by ``search`` over shards of whole groups.
+    """(a, b, off, m): runs of repeated windows of each kind, by ``search`` over shards of whole groups.
 
     search(data, off, group, low, high, x, y, c) gets the segments' bytes and
     says of each piece's windows low to high, one piece after the other, whether
@@ -273,7 +277,7 @@ def shard_rows(pieces: DataFrame, unit: Unit, search: Search, shard_bytes: int =
             m = total[np.append(start[1:], len(hit))] - total[start] if len(start) else start
             to = pa.array(piece)
             off_ = (start - base[piece] + low[piece]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(shard.column(i).take(to) for i in (2, 3, 4)), pa.array(off_), pa.array(m.astype(np.int32))], names=[*KIND, "off", "m"])
+            yield pa.RecordBatch.from_arrays([*(shard.column(i).take(to) for i in (3, 4)), pa.array(off_), pa.array(m.astype(np.int32))], names=["a", "b", "off", "m"])
         X.release()
 
     return pieces.repartition("ka", "kb").sortWithinPartitions("ka", "kb").mapInArrow(run, RUN)
@@ -283,12 +287,17 @@ def repeats(rows: DataFrame, unit: Unit, search: Search, most: int = MOST_KINDS,
     """(doc_id, t, first, n): runs of windows that also start elsewhere."""
     # written out first: a join with the aggregate itself would keep a common gram's seeds in one task
     common = cut(gram_rows(rows, unit).groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
-    shared = saved(seed_rows(rows, unit).join(common, "gram"))
+    # a merge join leaves the seeds by gram, as the kinds want them
+    shared = cut(seed_rows(rows, unit).join(common.hint("merge"), "gram"))
     one = F.min(F.struct("doc_id", "t", "first", "n", "at"))
     kinds = saved(shared.groupBy(*KIND).agg(F.count("*").alias("c"), one.alias("one")).select(*KIND, "c", "one.*"))
-    pieces = saved(piece_rows(rows, kinds, unit))
-    runs = saved(shard_rows(split_hot(pieces, unit, most), unit, search, shard_bytes))
-    return shared.join(runs, KIND).select("doc_id", "t", (F.col("first") + F.col("off")).alias("first"), F.col("m").alias("n"))
+    hot = cut(kinds.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most).select("gram"))
+    if hot.isEmpty():
+        pieces = piece_rows(rows, kinds, unit)
+    else:
+        pieces = piece_rows(rows, kinds.join(hot, "gram", "left_anti"), unit).unionByName(split_hot(piece_rows(rows, kinds.join(hot, "gram"), unit), unit, most))
+    runs = saved(shard_rows(pieces, unit, search, shard_bytes))
+    return shared.drop("gram").join(runs, ["a", "b"]).select("doc_id", "t", (F.col("first") + F.col("off")).alias("first"), F.col("m").alias("n"))
 
 
 def remove(rows: DataFrame, found: DataFrame, unit: Unit, digest, schema: str) -> DataFrame:

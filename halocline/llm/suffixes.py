@@ -140,6 +140,35 @@ def _induce_single(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) ->
     return np.array(line, np.int64)
 
 
+def _names(s: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The rank of each leftmost-smaller substring (to the next one's first letter) among the distinct ones.
+
+    As many letters (each with its type, larger first) as fit are packed into a
+    number; substrings with equal numbers that go on are told apart by the next
+    letters.
+    """
+    letter = 2 * s.astype(np.uint64) + small + np.uint64(1)  # 0: past the substring's end
+    width, n = (2 * k).bit_length(), len(lms)
+    length = np.append(np.diff(lms) + 1, 1)
+    rank, active, step = np.zeros(n, np.int64), np.arange(n), 0
+    while len(active):
+        fits = max(1, (63 if step == 0 else 63 - n.bit_length()) // width)
+        key = np.zeros(len(active), np.uint64) if step == 0 else rank[active].astype(np.uint64)
+        for i in range(step, step + fits):
+            inside = i < length[active]
+            key = (key << np.uint64(width)) | np.where(inside, letter[np.where(inside, lms[active] + i, 0)], np.uint64(0))
+        step += fits
+        order = np.argsort(key, kind="stable")
+        key, old, at = key[order], rank[active][order], np.arange(len(active))
+        new = np.append(True, key[1:] != key[:-1])
+        first, group = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        rank[active[order]] = old + first - group
+        alone = new & np.append(new[1:], True)
+        rest = active[order[~alone]]
+        active = rest[length[rest] > step]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def _order_named(lms: np.ndarray, names: np.ndarray) -> np.ndarray:
     """The leftmost-smaller suffixes in order, by recursion on the string of their substrings' names.
 
@@ -164,31 +193,9 @@ def _sort(s: np.ndarray, k: int) -> np.ndarray:
     s = s.astype(np.uint16) if k <= 1 << 16 else s  # numpy sorts two-byte values in linear time
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    names = _names(s, small, lms, k)
+    lms = _order_named(lms, names) if names.max() + 1 < len(lms) else lms[np.argsort(names)]
     induce = _induce_buckets if k <= BUCKETWISE else _induce_single
-    rough = induce(s, small, lms, k)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    ordered = rough[is_lms[rough]]  # the substrings between them are sorted now
-    following = np.full(len(s), len(s) - 1, np.int64)
-    following[lms[:-1]] = lms[1:]
-    a, b = ordered[:-1], ordered[1:]
-    length = following[a] - a
-    same = (length == following[b] - b) & (b != len(s) - 1) & (a != len(s) - 1)
-    active = np.flatnonzero(same)
-    step = 0
-    while len(active):
-        differ = s[a[active] + step] != s[b[active] + step]
-        same[active[differ]] = False
-        step += 1
-        active = active[~differ]
-        active = active[length[active] >= step]
-    names = np.append(0, np.cumsum(~same))
-    if names[-1] + 1 < len(lms):
-        name = np.zeros(len(s), np.int64)
-        name[ordered] = names
-        lms = _order_named(lms, name[lms])
-    else:
-        lms = ordered
     return induce(s, small, lms, k)
 
 
