@@ -14,6 +14,11 @@ def _nonzero(x: Column, value: Column, why: str) -> Column:
     return F.when(x != 0, value).otherwise(F.raise_error(F.lit(why)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, and not again for each element of a vector."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def vec_add(a: Column, b: Column) -> Column:
     return _same(a, b, F.zip_with(a, b, lambda x, y: x + y))
 
@@ -67,8 +72,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    n = norm(a)
-    return _nonzero(n, F.transform(a, lambda x: x / n), "zero vector has no direction")
+    return _let(norm(a), lambda n: _nonzero(n, F.transform(a, lambda x: x / n), "zero vector has no direction"))
 
 
 def is_same(a: Column, b: Column) -> Column:
@@ -81,12 +85,19 @@ def vec_hash(a: Column) -> Column:
 
 def min_max_scale(a: Column) -> Column:
     """To [0, 1]; 0.5 throughout if all elements are equal."""
-    low, high = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(high == low, F.lit(0.5)).otherwise((x - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)))
+
+    def scaled(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        return F.transform(a, lambda x: F.when(high == low, F.lit(0.5)).otherwise((x - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)))
+
+    return _let(F.struct(F.array_min(a).alias("low"), F.array_max(a).alias("high")), scaled)
 
 
 def standardize(a: Column) -> Column:
     """To mean 0 and population deviation 1; zeros if there is no deviation."""
-    mean = vec_mean(a)
-    deviation = F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / F.greatest(F.size(a), F.lit(1)))
-    return F.transform(a, lambda x: F.when(deviation == 0, F.lit(0.0)).otherwise((x - mean) / F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)))
+
+    def scaled(mean: Column) -> Column:
+        spread = F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / F.greatest(F.size(a), F.lit(1)))
+        return _let(spread, lambda d: F.transform(a, lambda x: F.when(d == 0, F.lit(0.0)).otherwise((x - mean) / F.when(d == 0, F.lit(1.0)).otherwise(d))))
+
+    return _let(vec_mean(a), scaled)
