@@ -55,8 +55,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = secret_scan.Ledger(spark, f"{scratch(spark)}/ledger-{uuid.uuid4().hex}")
-    ledger.scan(docs, secret_scan.BASE)
-    ledger.scan(docs)  # the pairs that are new: each blob under the added rules
+    ledger.scan(docs)
     rows = secret_scan.to_paths(docs, ledger.findings())
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))

@@ -67,8 +67,11 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     once = content.join(sized(shared), "blob_id", "left").where("first is null or path = first").drop("first", "path")
     if ledger is None:
         return once.withColumn("todo", keys)
-    seen = cut(ledger.groupBy("blob_id").agg(F.collect_set(F.concat_ws("@", "kind", F.col("version").cast("string"))).alias("seen")))
-    return once.join(sized(seen, F.size("seen")), "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
+    # which blobs are open is found on their ids alone; texts meet only those
+    seen = ledger.groupBy("blob_id").agg(F.collect_set(F.concat_ws("@", "kind", F.col("version").cast("string"))).alias("seen"))
+    open_ = content.select("blob_id").distinct().join(seen, "blob_id", "left").select("blob_id", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+    todo = cut(open_.where(F.size("todo") > 0))
+    return once.join(sized(todo, F.size("todo")), "blob_id")
 
 
 def _located(rule: Rule) -> Column:
