@@ -44,7 +44,7 @@ BYTE_UNIT = X.mix(X.BYTE_VALUE.copy())
 SEED_SCHEMA = "gram long, a long, b long, doc_id long, t long, first int, n int, at int"
 KIND = ["gram", "a", "b"]
 #: Bytes of a shard, and kinds that one group of a shard may have.
-SHARD_BYTES, MOST_KINDS = 1 << 20, 4096
+SHARD_BYTES, MOST_KINDS = 1 << 20, 1024
 PIECE = "ka long, kb long, gram long, a long, b long, c long, low int, high int, x int, y int, segment binary"
 RUN = "a long, b long, off int, m int"
 
@@ -297,7 +297,8 @@ def repeats(rows: DataFrame, unit: Unit, search: Search, most: int = MOST_KINDS,
     else:
         pieces = piece_rows(rows, kinds.join(hot, "gram", "left_anti"), unit).unionByName(split_hot(piece_rows(rows, kinds.join(hot, "gram"), unit), unit, most))
     runs = saved(shard_rows(pieces, unit, search, shard_bytes))
-    return shared.drop("gram").join(runs, ["a", "b"]).select("doc_id", "t", (F.col("first") + F.col("off")).alias("first"), F.col("m").alias("n"))
+    # by merge at every size, as above
+    return shared.drop("gram").join(runs.hint("merge"), ["a", "b"]).select("doc_id", "t", (F.col("first") + F.col("off")).alias("first"), F.col("m").alias("n"))
 
 
 def remove(rows: DataFrame, found: DataFrame, unit: Unit, digest, schema: str) -> DataFrame:
