@@ -245,6 +245,23 @@ def test_csv(spark, tmp_path):
         csv.write_labels(got, "nowhere")
 
 
+def test_row_numbers_of_several_and_split_files(spark, tmp_path):
+    """Files of different sizes, written in the order of their names, the larger ones read in several parts."""
+    folder, said = tmp_path / "many", []
+    folder.mkdir()
+    for k, n in enumerate((3, 400, 0, 50, 900, 1)):
+        (folder / f"part-{k:05}.csv").write_text("dim0\n" + "".join(f"{len(said) + i}.5\n" for i in range(n)))
+        said += range(n)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (kept, "1000", "200"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = csv.read_points(spark, str(folder)).collect()
+            assert sorted((r["id"], r["v"][0]) for r in rows) == [(i, i + 0.5) for i in range(len(said))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_command_line(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_text("x,y\n" + "".join(f"{0.01 * i},0\n" for i in range(20)) + "9,9\n")
